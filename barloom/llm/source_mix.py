@@ -45,8 +45,9 @@ def source_targets(
         .withColumn("fill", F.col("most") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(whole))
         .withColumn("level", level)
-        # the first source whose limit lies above the level that is left for it and all after it sets the level
-        .withColumn("level", F.min(F.when(F.col("fill") > F.col("level"), F.col("level"))).over(whole))
+        # the first source whose limit lies above the level that is left for it and all after it sets the level;
+        # after it, what seems to be left only falls
+        .withColumn("level", F.max(F.when(F.col("fill") > F.col("level"), F.col("level"))).over(whole))
         .withColumn("target", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
         .select("source", "source_size", "n_docs", "target")
     )

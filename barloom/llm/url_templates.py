@@ -51,7 +51,8 @@ def judge_urls(
     min_children: int = 20,
     max_share: float = 0.1,
     alpha: float = 5.0,
-    reject_above: float = 0.5,
+    prior: float = 0.5,
+    reject_above: float = 0.7,
     similar_z: float = 1.96,
 ) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
@@ -67,9 +68,9 @@ def judge_urls(
     3. Leaves of one parent whose labelled shares of bad rows don't differ by
        similar_z standard errors from their neighbour's in rank are merged;
        leaves without labels merge with each other only.
-    4. A (merged) template's purity is (bad + alpha * base) / (labelled + alpha),
-       where base is the share of bad among all labelled rows; it is rejected
-       (block) above reject_above.
+    4. A (merged) template's purity is (bad + alpha * prior) / (labelled + alpha);
+       it is rejected (block) above reject_above. A template without labels
+       stays at the prior: no evidence, no rejection.
 
     Null urls and urls without "://" have empty host and path, and are judged
     as such. Null ids are ordinary rows, and repeated rows count each. Other columns are ignored. An empty
@@ -121,7 +122,6 @@ def judge_urls(
         )
     tree = written(tree.select("host", "shape", "node", "n", "labelled", "bad"), "url-tree")
     leaves = tree.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    base = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("base")).first()[0]
     parent = F.regexp_replace("node", "/[^/]*$", "")
     share = F.try_divide("bad", "labelled")
     se = F.sqrt(
@@ -141,7 +141,7 @@ def judge_urls(
     )
     # the branch's sums with a key of its own, then back to its leaves
     pure = merged.groupBy("host", "parent", "branch").agg(
-        ((F.sum("bad") + alpha * base) / (F.sum("labelled") + alpha)).alias("purity")
+        ((F.sum("bad") + alpha * prior) / (F.sum("labelled") + alpha)).alias("purity")
     )
     judged = merged.join(pure, ["host", "parent", "branch"]).select("host", "node", "purity")
     by_shape = tree.select("host", "shape", "node").join(judged, ["host", "node"])
