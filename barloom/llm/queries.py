@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import conversation_digests, format_conversations
 from .common import table, word_count
 from .exact_dedup import exact_dedup
+from .minhash_dedup import minhash_dedup
 from .source_mix import mix_sources
 from .topk_search import topk_search
 from .url_templates import judge_urls
@@ -22,6 +23,10 @@ URL_RULES = [
 ]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), word_count(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +54,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_source_mix": op4_source_mix,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
