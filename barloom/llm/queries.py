@@ -10,11 +10,21 @@ from .common import table, word_count
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .minhash_dedup import minhash_dedup
+from .packing import pack_documents
 from .source_mix import mix_sources
 from .topk_search import topk_search
 from .toxicity import toxicity_scores
 from .url_templates import judge_urls
 
+
+
+def tokenizer_file() -> str:
+    """The public tokenizer that the packing query takes; the operator's parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 #: The rules of the url query.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -53,6 +63,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -70,6 +84,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
     "op9_url_templates": op9_url_templates,
     "op10_topk_search": op10_topk_search,
 }
