@@ -9,6 +9,7 @@ from .chat_format import conversation_digests, format_conversations
 from .common import table, word_count
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
+from .license_scan import scan_licenses
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
 from .source_mix import mix_sources
@@ -39,6 +40,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -79,6 +84,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_html_extract": op3_html_extract,
     "op4_source_mix": op4_source_mix,
     "op5_toxicity": op5_toxicity,
