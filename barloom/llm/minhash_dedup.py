@@ -131,12 +131,11 @@ def _forest(n: np.ndarray, sketch: np.ndarray, fits) -> list[tuple[int, int]]:
     return out
 
 
-def likely_pairs(buckets: DataFrame, percent: int, limit: int, every: bool) -> DataFrame:
-    """Of rows (key, node, n, sketch, root), each key's in one partition and sorted: (a, b, key, tree).
+def likely_pairs(buckets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Of rows (key, node, n, sketch), each key's in one partition and sorted: (a, b, tree).
 
     A pair is likely if the sizes allow the similarity and the sketches' XOR has at most `limit` bits.
-    Small buckets give all likely pairs. Larger ones give a forest of them, marked tree,
-    or with `every` all whose roots differ.
+    Small buckets give all likely pairs, larger ones a forest of them, marked tree.
     """
 
     def pairs(batches):
@@ -144,7 +143,6 @@ def likely_pairs(buckets: DataFrame, percent: int, limit: int, every: bool) -> D
             key = run["key"].to_numpy()
             node = run["node"].to_numpy()
             n = run["n"].to_numpy()
-            root = run["root"].to_numpy()
             sketch = np.frombuffer(b"".join(run["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
 
             def fits(i, j, n=n, sketch=sketch):
@@ -160,25 +158,19 @@ def likely_pairs(buckets: DataFrame, percent: int, limit: int, every: bool) -> D
                 ok = fits(i, i + d)[1]
                 found.append((i[ok], i[ok] + d, np.zeros(ok.sum(), bool)))
             for start, m in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-                if every:
-                    for x in range(start, start + m):
-                        others = np.arange(x + 1, start + m)
-                        others = others[root[others] != root[x]]
-                        ok = fits(np.full(len(others), x), others)[1]
-                        found.append((np.full(ok.sum(), x), others[ok], np.ones(ok.sum(), bool)))
-                else:
-                    part = slice(start, start + m)
-                    edges = np.array(_forest(n[part], sketch[part], lambda i, j, s=start: fits(i + s, j + s)), int).reshape(-1, 2)
-                    found.append((edges[:, 0] + start, edges[:, 1] + start, np.ones(len(edges), bool)))
+                part = slice(start, start + m)
+                edges = _forest(n[part], sketch[part], lambda i, j, s=start: fits(i + s, j + s))
+                edges = np.array(edges, int).reshape(-1, 2) + start
+                found.append((edges[:, 0], edges[:, 1], np.ones(len(edges), bool)))
             i, j, tree = (np.concatenate(x) for x in zip(*found, strict=True))
             real = node[i] != node[j]
             i, j, tree = i[real], j[real], tree[real]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(key[i]), pa.array(tree)],
-                names=["a", "b", "key", "tree"],
+                [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(tree)],
+                names=["a", "b", "tree"],
             )
 
-    return buckets.mapInArrow(pairs, "a long, b long, key long, tree boolean")
+    return buckets.mapInArrow(pairs, "a long, b long, tree boolean")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -204,6 +196,94 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: in
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
+def _common(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the sets up to `split` with those from it on, as products of 0-1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[seen[column] > 1], column[seen[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((split, len(sets) - split), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, b = np.searchsorted(column, [first, first + 8192])
+        marks = np.zeros((len(sets), 8192), np.float32)
+        marks[owner[a:b], column[a:b] - first] = 1
+        out += marks[:split] @ marks[split:].T
+    return out.astype(np.int64)
+
+
+def links_across(blocks: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Of rows (key, side, node, root, text), each key's in one partition and sorted: links (a, b).
+
+    Side 0 of a key is compared with side 1 in full, or with itself where there is no side 1. Of the pairs that are
+    links and whose roots differ, a forest is returned.
+    """
+
+    def compare(batches):
+        for run in _runs(batches):
+            key = run["key"].to_numpy()
+            found = [np.zeros((0, 2), np.int64)]
+            bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = run.slice(start, end - start)
+                side, node, root = (part[c].to_numpy() for c in ("side", "node", "root"))
+                order = np.argsort(side, kind="stable")
+                sets = shingle_sets(part["text"].combine_chunks(), shingle_words)
+                left, right = order[side[order] == 0], order[side[order] == 1]
+                if not len(right):
+                    right = left
+                common = _common([sets[i] for i in [*left, *right]], len(left))
+                n = np.array([len(x) for x in sets])
+                union = n[left][:, None] + n[right][None, :] - common
+                linked = (common > 0) & (100 * common >= percent * union) & (root[left][:, None] != root[right][None, :])
+                found.append(_spanning(linked, node[left], node[right]))
+            edges = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    return blocks.mapInArrow(compare, "a long, b long")
+
+
+def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A forest of the two-sided graph."""
+    fresh_left, fresh_right = np.ones(len(left), bool), np.ones(len(right), bool)
+    edges = []
+    for first in np.flatnonzero(linked.any(axis=1)).tolist():
+        todo = [first] if fresh_left[first] else []
+        fresh_left[first] = False
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & fresh_right).tolist():
+                fresh_right[j] = False
+                edges.append((left[i], right[j]))
+                for k in np.flatnonzero(linked[:, j] & fresh_left).tolist():
+                    fresh_left[k] = False
+                    edges.append((left[k], right[j]))
+                    todo.append(k)
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def _block_pairs(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
+    """Members of groups as rows for each pair of blocks of their group that their block is in: with `key` and `side`.
+
+    Groups of up to `block` members are one block, and keep their key.
+    """
+    own, other = F.col("own"), F.col("other")
+    return (
+        members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("side", F.when(own <= other, 0).otherwise(1))
+        .withColumn(
+            "key",
+            F.when(F.col("blocks") == 1, F.col(key)).otherwise(
+                F.xxhash64(key, F.least(own, other), F.greatest(own, other))
+            ),
+        )
+        .drop("blocks", "own", "other")
+    )
+
+
 def minhash_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -213,7 +293,8 @@ def minhash_dedup(
     bands: int = 30,
     rows: int = 5,
     bits: int = 512,
-    block: int = 2048,
+    bucket_block: int = 2048,
+    text_block: int = 512,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -226,18 +307,20 @@ def minhash_dedup(
        chance of (1 - s**rows)**bands: 7e-6 at 30 bands of 5 and 0.8.
     2. Documents with the same set are one node; copies never meet pairwise.
     3. Nodes are dealt by band key. Sizes and the population count of the
-       sketches' XOR tell likely pairs. Buckets of up to eight nodes give all of them;
-       larger ones a forest that joins all that likely pairs join, so
-       what a bucket gives is linear in its size. A bucket of more than `block`
-       nodes is worked on as pairs of blocks, a task each.
+       sketches' XOR tell likely pairs. Buckets of up to eight nodes give all
+       of them; larger ones a forest that joins all that likely pairs join, so
+       what a bucket gives is linear in its size. A bucket of more than
+       bucket_block nodes is worked on as pairs of blocks, a task's group each.
     4. Likely pairs are confirmed on the full shingle sets.
     5. Where a forest's edge is refuted and its ends are not in one component by
-       other links, the bucket's likely pairs across components are all
-       confirmed too. After that no likely pair is undecided.
+       other links, other pairs of that cluster (what likely pairs join) may
+       still be links. Such clusters are compared in full across components,
+       in pairs of blocks of text_block texts, and only links leave a task.
 
     Empty and null texts have n_shingles 0 and stand alone. Rows that share an
-    id are one document for links (each is returned). A row with a null id links nothing; its component_id is that of
-    rows with its very set, or null. Extra columns are ignored. An empty table gives no rows.
+    id are one document for links (each is returned). A row with a null id links
+    nothing; its component_id is that of rows with its very set, or null. Extra
+    columns are ignored. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, shingle_words, bands, rows, bits), "signatures")
@@ -252,39 +335,11 @@ def minhash_dedup(
         .dropDuplicates(["node"]),
         "nodes",
     )
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = written(
-        keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1"), "buckets"
-    )
-    limit = bit_limit(percent / 100, bands * rows, bits)
-    facts = nodes.select("node", "n", "sketch")
-
-    def dealt(members, roots=None):
-        """The buckets' rows, those of a large one once for each pair of blocks that their block is in."""
-        rows_ = members.join(facts, "node")
-        if roots is None:
-            rows_ = rows_.withColumn("root", F.col("node"))
-        else:
-            rows_ = rows_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        pair_key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        return (
-            rows_.withColumn("blocks", blocks)
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(
-                F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair_key).alias("key"),
-                "node",
-                "n",
-                "sketch",
-                "root",
-            )
-            .repartition("key")
-            .sortWithinPartitions("key")
-        )
-
-    likely = written(likely_pairs(dealt(shared), percent, limit, False), "likely")
+    keyed = nodes.select(F.explode("keys").alias("band"), "node")
+    shared = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
+    buckets = _block_pairs(shared.join(nodes.select("node", "n", "sketch"), "node"), "band", "m", bucket_block)
+    buckets = buckets.select("key", "node", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    likely = written(likely_pairs(buckets, percent, bit_limit(percent / 100, bands * rows, bits)), "likely")
     pairs = likely.select("a", "b").distinct()
     links = written(confirmed(pairs, docs, shingle_words, percent), "links")
     roots = components(links)
@@ -293,15 +348,20 @@ def minhash_dedup(
         .join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     )
-    torn = written(
-        ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("key").distinct(), "torn"
-    )
+    torn = written(ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a").distinct(), "torn")
     if not torn.isEmpty():
-        again = dealt(shared, roots).join(torn, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-        more = likely_pairs(again, percent, limit, True).select("a", "b").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "likely-more")
-        links = written(links.unionAll(confirmed(more, docs, shingle_words, percent)), "links")
-        roots = components(links)
+        clusters = components(pairs).withColumnRenamed("root", "cluster")
+        open_ = clusters.join(torn.withColumnRenamed("a", "node"), "node", "left_semi").select("cluster").distinct()
+        members = clusters.join(open_, "cluster")
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+        members = members.join(sizes, "cluster").join(roots, "node", "left")
+        members = members.withColumn("root", F.coalesce("root", "node"))
+        texts = docs.join(members.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
+        texts = texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        blocks = _block_pairs(members.join(texts, "node"), "cluster", "m", text_block)
+        blocks = blocks.select("key", "side", "node", "root", "text").repartition("key").sortWithinPartitions("key")
+        more = links_across(blocks, shingle_words, percent)
+        roots = components(written(links.unionAll(more), "links"))
     placed = signed.select("doc_id", "n", "print").join(classes, "print", "left").join(roots, "node", "left")
     component = F.coalesce("root", "node", "doc_id")
     return placed.select(
