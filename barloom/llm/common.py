@@ -42,3 +42,18 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of ids that may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a written table of narrow rows, to be broadcast if it has at most BROADCAST_ROWS rows, else to be shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is not among `ids` (one column, the id's; nulls match nothing)."""
+    gone = written(ids.distinct(), "dropped-ids")
+    return df.join(bounded(gone.withColumnRenamed(gone.columns[0], id_col)), id_col, "left_anti")

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shingles import mix64
 
@@ -358,6 +359,40 @@ def train(
     return net
 
 
+def fit(
+    texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str, label_col: str, sample_rows: int, window: int, stride: int
+) -> Network | None:
+    """A network from at most sample_rows documents of either label, none of them held out."""
+    source = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
+    picked = [marks.where(F.col("label") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
+    # at most 2 * sample_rows rows: the documented bound of the sample
+    sample = source.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "text", "label").toPandas()
+    sample = sample.sort_values(["doc_id", "label", "text"], kind="stable")
+    return train(sample["text"].tolist(), sample["label"].to_numpy(), window, stride)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from training: crc32 of its id as text, mod 4, is 2."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def with_scores(df: DataFrame, net: Network | None, text_col: str, score_col: str, window: int, stride: int) -> DataFrame:
+    """df with each row's score in a further column."""
+    model = df.sparkSession.sparkContext.broadcast(net)
+    schema = T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType())])
+    at = df.columns.index(text_col)
+
+    def score(batches):
+        for batch in batches:
+            scores = pa.array(score_texts(model.value, batch.column(at), window, stride), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=schema.names)
+
+    return df.mapInArrow(score, schema)
+
+
 def toxicity_scores(
     df: DataFrame,
     labels: DataFrame,
@@ -369,42 +404,44 @@ def toxicity_scores(
     sample_rows: int = 2000,
     window: int = 32,
     stride: int = 24,
-    train_texts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     The network is fitted on at most sample_rows labelled documents of either
     label (those of the smallest hashes of their ids), none of them held out:
-    a document is held out where crc32(id as text) mod 4 is 2. train_texts: where the labelled documents' texts are;
-    default df. Every window of `window` words, `stride` apart, of every text is
-    scored; the document's score is the highest window's.
+    a document is held out where crc32(id as text) mod 4 is 2. Every window of
+    `window` words, `stride` apart, of every whole text is scored; the
+    document's score is the highest window's.
 
     Null and empty texts, and texts without letters, score 0. A row with a null
     id is not held out, and not learned from. Null labels are not learned from;
-    without both labels every score is 0. Repeated rows are each returned. Extra columns are
-    ignored. An empty table gives no rows.
+    without both labels every score is 0. Repeated rows are each returned. Extra
+    columns are ignored. An empty table gives no rows.
     """
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    source = docs if train_texts is None else train_texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
-    picked = [marks.where(F.col("label") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
-    # at most 2 * sample_rows rows: the documented bound of the sample
-    sample = source.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "text", "label").toPandas()
-    sample = sample.sort_values(["doc_id", "label", "text"], kind="stable")
-    net = train(sample["text"].tolist(), sample["label"].to_numpy(), window, stride)
-    model = docs.sparkSession.sparkContext.broadcast(net)
-
-    def score(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score_texts(model.value, batch.column("text"), window, stride), pa.float64())],
-                names=["doc_id", "score"],
-            )
-
-    scored = docs.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    net = fit(docs, labels, "doc_id", "text", label_id_col, label_col, sample_rows, window, stride)
+    scored = with_scores(docs, net, "text", "score", window, stride)
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.5,
+    sample_rows: int = 2000,
+    window: int = 32,
+    stride: int = 24,
+) -> DataFrame:
+    """The rows of df that score below the threshold, with all their columns; see toxicity_scores."""
+    net = fit(df, labels, id_col, text_col, "doc_id", "toxic", sample_rows, window, stride)
+    name = "score"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return with_scores(df, net, text_col, name, window, stride).where(F.col(name) < threshold).drop(name)
