@@ -70,9 +70,13 @@ def cusum_bars(
     log_price: default ln(price).
     """
     lp = F.ln("price") if log_price is None else log_price
+    if ticks.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts"))
+    else:
+        micros = F.unix_micros("ts")
     tape = ticks.select(
         "symbol",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        micros.alias("t"),
         "agg_id",
         lp.cast("double").alias("lp"),
         F.col("price").cast("double").alias("price"),
