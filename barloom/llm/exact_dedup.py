@@ -76,18 +76,17 @@ def exact_dedup(
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of df that exact_dedup keeps, with all their columns.
 
-    Ids that several rows carry are looked up together with their text; of rows equal in both, one stays.
+    Ids that several rows carry, and null ids, are looked up together with their text; of rows equal in both, one stays.
     """
     judged = written(exact_dedup(df, id_col, text_col, keep), "judged")
-    many = written(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "ids")
+    many = written(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "ids")
     if many.isEmpty():
         return without_ids(df, judged.where(~F.col("kept")).select("doc_id"), id_col)
     single = without_ids(df, judged.where(~F.col("kept")).select("doc_id").unionAll(many), id_col)
     single = single.where(F.col(id_col).isNotNull()) if not many.where("doc_id IS NULL").isEmpty() else single
-    some = df.join(many.withColumnRenamed("doc_id", "many_id"), F.col(id_col).eqNullSafe(F.col("many_id")), "left_semi")
-    kept = judged.where("kept").select("doc_id", "text_sha256").distinct()
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    stay = some.join(
-        kept, F.col(id_col).eqNullSafe(kept["doc_id"]) & (digest == kept["text_sha256"]), "left_semi"
-    )
+    again = many.withColumnRenamed("doc_id", "many_id")
+    some = df.join(again, df[id_col].eqNullSafe(again["many_id"]), "left_semi")
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    digest = F.sha2(F.coalesce(some[text_col], F.lit("")), 256)
+    stay = some.join(kept, some[id_col].eqNullSafe(kept["kept_id"]) & (digest == kept["kept_sha"]), "left_semi")
     return single.unionByName(stay.dropDuplicates([id_col, text_col]))
