@@ -59,10 +59,12 @@ def exact_dedup(
         F.unhex(F.sha2("norm", 256)).alias("digest"),
     )
     runs = written(runs, "content-runs")
-    groups = (
+    # a table of its own, so that the join below shuffles for itself and can split a large group
+    groups = written(
         runs.where("place = 1")
         .groupBy("digest")
-        .agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.sum("n").alias("group_size"))
+        .agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.sum("n").alias("group_size")),
+        "content-groups",
     )
     return runs.join(groups, "digest").select(
         F.col("id").alias("doc_id"),
