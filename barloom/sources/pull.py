@@ -8,8 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-#: Records of a page: the fields' one-letter names are the wire format's, fixed values.
-RECORD = "a bigint, p string, q string, f bigint, l bigint, T bigint, m boolean, M boolean"
+#: The one-letter fields of a page's records, fixed values of the wire format, and what they are called here.
+FIELDS = ("a", "p", "q", "f", "l", "T", "m", "M")
+RECORD = "agg_id bigint, price string, qty string, first_id bigint, last_id bigint, epoch bigint, is_buyer_maker boolean, best_match boolean"
 
 
 class PullSource(DataSource):
@@ -46,7 +47,7 @@ class PullReader(SimpleDataSourceStreamReader):
             for r in records:
                 if end is not None and r["a"] >= end:
                     return
-                yield tuple(r[k] for k in ("a", "p", "q", "f", "l", "T", "m", "M"))
+                yield tuple(r[k] for k in FIELDS)
             if len(records) < self.page:
                 return
             first = records[-1]["a"] + 1
