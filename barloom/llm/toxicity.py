@@ -64,6 +64,22 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(index, upto, distinct, own, np.cumsum(lengths[at]) - lengths[at])
 
 
+def _together(parts: list[Words]) -> Words:
+    """The words of several lists of documents as one."""
+    hashes, at = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True)
+    begins, letters, shift = [], [], 0
+    for p in parts:
+        begins.append(p.begins + shift)
+        letters.append(p.letters)
+        shift += len(p.letters)
+    lengths = np.concatenate([np.diff(np.append(p.begins, len(p.letters))) for p in parts])[at]
+    own = np.concatenate(letters)[_ragged(np.concatenate(begins)[at], lengths)] if len(at) else letters[0]
+    index = np.concatenate([np.searchsorted(hashes, p.hashes)[p.index] for p in parts])
+    ends = np.cumsum([0, *(len(p.index) for p in parts)])
+    upto = np.concatenate([p.upto + e for p, e in zip(parts, ends[:-1], strict=True)])
+    return Words(index, upto, hashes, own, np.cumsum(lengths) - lengths)
+
+
 def _gram_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character n-grams of each distinct word, word by word; where each word's begin.
 
@@ -125,12 +141,20 @@ class Network:
 
     def evidence(self, words: Words) -> np.ndarray:
         """Of each distinct word: its own log-odds, and the highest and the mean of its n-grams'."""
-        grams, begins = _gram_hashes(words)
-        odds = self.gram_odds[self.cells(grams)]
-        counts = np.diff(np.append(begins, len(grams)))
+        cell, counts = self.gram_cells(words)
+        odds, begins = self.gram_odds[cell], np.cumsum(counts) - counts
         own = self.word_odds[self.cells(words.hashes)]
         return np.stack([own, np.maximum.reduceat(odds, begins), np.add.reduceat(odds, begins) / counts], 1).astype(np.float32)
 
+    def gram_cells(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of the distinct words' n-grams, word by word, and how many each word has; some words at a time."""
+        cells, counts = [], []
+        for i in range(0, len(words.hashes), 1 << 15):
+            grams, begins = _gram_hashes(_take(words, np.arange(i, min(i + (1 << 15), len(words.hashes)))))
+            cells.append(self.cells(grams).astype(np.int32))
+            counts.append(np.diff(np.append(begins, len(grams))))
+        return np.concatenate(cells), np.concatenate(counts)
+
     def embed(self, words: Words, fixed: np.ndarray | None = None) -> np.ndarray:
         fixed = self.evidence(words) if fixed is None else fixed
         cell = (words.hashes & np.uint64(4095)).astype(np.int64)
@@ -263,7 +287,7 @@ def _counts(cells: int, cell: np.ndarray, counts: np.ndarray, begins: np.ndarray
     out = np.zeros((4, cells), np.int64)
     i = 0
     while i < len(doc):
-        j = int(np.searchsorted(doc, doc[min(i + 200_000, len(doc) - 1)], side="right"))
+        j = int(np.searchsorted(doc, doc[min(i + 100_000, len(doc) - 1)], side="right"))
         w, d = word[i:j], doc[i:j]
         seen = np.unique(np.repeat(d, counts[w]) * cells + cell[_ragged(begins[w], counts[w])])
         for g in range(4):
@@ -299,23 +323,22 @@ def train(
     if not len(labels) or labels.min() == labels.max():
         return None
     net, rng = Network(seed=seed), np.random.default_rng(seed)
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    words = read_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    words = _together([read_words(data, offsets) for data, offsets in _texts(pa.array(texts, pa.large_string()))])
     if not len(words.index):
         return None
     n = len(words.hashes)
-    half = np.zeros(len(raw), np.int64)
+    half = np.zeros(len(texts), np.int64)
     for y in (0, 1):
         half[np.flatnonzero(labels == y)[1::2]] = 1
-    doc_of_word = np.repeat(np.arange(len(raw)), np.diff(np.concatenate([[0], words.upto])))
+    doc_of_word = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], words.upto])))
     held = np.unique(doc_of_word * n + words.index)
     doc, word = held // n, held % n
-    grams, begins = _gram_hashes(words)
-    counts = np.diff(np.append(begins, len(grams)))
+    gram_cell, counts = net.gram_cells(words)
+    begins = np.cumsum(counts) - counts
     group, cells = labels + 2 * half, 1 << net.table_bits
     one = np.ones(n, np.int64)
     of_words = _counts(cells, net.cells(words.hashes), one, np.arange(n), doc, word, group)
-    of_grams = _counts(cells, net.cells(grams), counts, begins, doc, word, group)
+    of_grams = _counts(cells, gram_cell, counts, begins, doc, word, group)
     docs_in = np.bincount(group, minlength=4)
 
     def count(halves: list[int]) -> None:

@@ -42,8 +42,8 @@ def assign_to_bars(ticks: DataFrame, bars: DataFrame) -> DataFrame:
     closes = bars.select("symbol", F.col("bar_close_ts").alias("ts"), "bar_id").withColumn("is_bar", F.lit(1))
     opens = bars.groupBy("symbol").agg(F.min("bar_open_ts").alias("first_open"))
     tape = ticks.withColumn("is_bar", F.lit(0)).unionByName(closes, allowMissingColumns=True)
-    ahead = (
-        Window.partitionBy("symbol").orderBy("ts", "is_bar", "bar_id").rowsBetween(0, Window.unboundedFollowing)
-    )
-    assigned = tape.withColumn("bar_id", F.first("bar_id", ignorenulls=True).over(ahead)).where("is_bar = 0")
+    # backwards in time: the frame grows row by row, where one that looks ahead would be read anew for every row
+    back = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("is_bar"), F.desc("bar_id"))
+    nearest = F.last("bar_id", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    assigned = tape.withColumn("bar_id", nearest).where("is_bar = 0")
     return assigned.where("bar_id IS NOT NULL").join(opens, "symbol").where("ts > first_open").drop("is_bar", "first_open")
