@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Above this bound on a score, float64 products may round: int64 is used.
 _EXACT = 2**53
 #: The score of a query's own rows: below all others.
@@ -46,14 +50,15 @@ def topk_search(
     vector_col: str = "embedding",
     scale: float = 1024.0,
     tile_rows: int = 512,
-    broadcast_mb: int = 32,
+    broadcast_mb: float = 32,
     fan_in: int = 32,
 ) -> DataFrame:
     """Each query's k highest integer inner products with all rows of df but itself: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). The queries are sent to the executors
-    in blocks of at most broadcast_mb megabytes, however many there are; a task
-    multiplies a block with tiles of its rows and keeps k rows per query
+    in blocks of at most broadcast_mb megabytes, one block at a time: a block's
+    lists are written before the next one is sent, and it is let go then. A task
+    multiplies the block with tiles of its rows and keeps k rows per query
     between tiles. The tasks' short lists meet in a tree: fan_in tasks first,
     then all.
 
@@ -78,7 +83,8 @@ def topk_search(
     asked = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
     # A block's bytes are bounded; the number of blocks grows with the queries, not what is sent at once.
     sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_blocks = 1 if not sizes["n"] else -(-sizes["n"] * (sizes["dim"] + 1) * 8 * 2 // (broadcast_mb * 2**20))
+    bytes_ = sizes["n"] * ((sizes["dim"] or 0) + 1) * 8 * 2
+    n_blocks = max(1, math.ceil(bytes_ / (broadcast_mb * 2**20)))
     parts = [
         _search_block(base, asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b), k, scale, tile_rows)
         for b in range(n_blocks)
@@ -146,4 +152,7 @@ def _search_block(base: DataFrame, asked: DataFrame, k: int, scale: float, tile_
                 names=["query_id", "vec_id", "score", "task"],
             )
 
-    return base.mapInArrow(search, "query_id long, vec_id long, score long, task long")
+    tops_of_tasks = base.mapInArrow(search, "query_id long, vec_id long, score long, task long")
+    lists = written(tops_of_tasks, "tile-tops")
+    held.destroy()
+    return lists

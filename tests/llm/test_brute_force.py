@@ -268,12 +268,13 @@ def test_url_templates_learn_from_labels(spark):
     assert {r["template"] for r in made} == {"/spam/{n}/x", "/news/{n}/x"}
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("broadcast_mb", [32, 0.001])
+def test_topk(spark, broadcast_mb):
     rng = np.random.default_rng(11)
     v = rng.normal(size=(400, 12)).astype(np.float32)
     v[50:120] = v[49]
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5)
-    got = topk_search(frame, frame.where("vec_id % 20 = 0"), k=7, tile_rows=32).collect()
+    got = topk_search(frame, frame.where("vec_id % 20 = 0"), k=7, tile_rows=32, broadcast_mb=broadcast_mb).collect()
     e = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
     want = []
     for q in range(0, 400, 20):
