@@ -21,8 +21,11 @@ _UNIT = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file, run by tiktoken: the same ids at several times the speed."""
+def _encoder(path: str, added: bool):
+    """The byte-level BPE of a tokenizers JSON file, run by tiktoken: the same ids at several times the speed.
+
+    added: whether the file's added tokens are found in texts.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -31,27 +34,31 @@ def _encoder(path: str):
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    if added and any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take blanks or whole words only are not supported")
+    if added and any(a != b and a in b for a in special for b in special):
+        raise ValueError("added tokens that hold one another are not supported")
     ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> DataFrame:
     """Of (doc_id, source, text): doc_id, source, n, ids (little-endian, with end_id last), part, before.
 
-    part numbers the task, before counts the tokens of the same source earlier in it. Strings of special tokens in a text are ordinary text.
+    part numbers the task, before counts the tokens of the same source earlier in it. added_tokens: as in pack_documents.
     """
 
     def encode(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, added_tokens)
         seen: dict[str | None, int] = {}
         for batch in batches:
             ids, before, ns = [], [], []
             for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x = np.array([*encoder.encode_ordinary(text or ""), end_id], "<u4")
+                x = np.array([*encoder.encode(text or "", allowed_special="all"), end_id], "<u4")
                 ids.append((x.astype("<u2") if x.max() < 65536 else x).tobytes())
                 ns.append(len(x))
                 before.append(seen.get(source, 0))
@@ -127,6 +134,7 @@ def pack_documents(
     end_id: int = 1,
     max_queues: int = 4096,
     broadcast_rows: int = 500_000,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -137,6 +145,10 @@ def pack_documents(
     window of all is short, to be padded. proportions: target shares by source; default is what the sources
     hold, so that all last to the end. Sources without a share count as the least.
 
+    added_tokens: with it the ids are those that tokenizers gives with
+    add_special_tokens=False: a string of one of the file's added tokens in a
+    text is that token's one id. Without it such strings are ordinary text.
+
     Tokens are made once and kept in the shared folder; the tasks' sums per
     source then give each document's place, so no tokens are shuffled. With
     more than max_queues sources, queues are hashes of sources; proportions then hold per queue.
@@ -151,7 +163,7 @@ def pack_documents(
         if proportions:
             raise ValueError("proportions by source need at most max_queues sources")
         docs = docs.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
-    tokens = written(tokenized(docs, tokenizer_path, end_id), "tokens")
+    tokens = written(tokenized(docs, tokenizer_path, end_id, added_tokens), "tokens")
     sums = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("part_n")), "token-sums")
     # one row per source: at most max_queues
     totals = sums.groupBy("source").agg(F.sum("part_n").alias("total")).orderBy(F.col("source").asc_nulls_first()).collect()

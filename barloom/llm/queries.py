@@ -69,7 +69,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), added_tokens=True)
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

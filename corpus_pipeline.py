@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents' pieces in windows of 2048 tokens."""
-    return pack_documents(docs, tokenizer_file())
+    return pack_documents(docs, tokenizer_file(), added_tokens=True)
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", unique), ("near_dedup", distinct), ("mix", mixed), ("pack", packed)]
