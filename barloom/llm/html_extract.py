@@ -18,9 +18,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that never hold an article's text, and the roles, class and id words of those that do neither.
-CHROME = frozenset("nav header footer aside form button dialog menu head figcaption".split()) | RAW
+#: Elements that never hold an article's text, and the roles of those that do neither.
+CHROME = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
+#: Classes and ids, as whole words between blanks, that mark an element unless the article stands in it.
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices "
@@ -42,7 +43,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
 
 
 @dataclass
@@ -52,6 +52,8 @@ class Node:
     tag: str
     parent: Node | None
     chrome: bool = False
+    hint: bool = False
+    marked: bool = False
     parts: list = field(default_factory=list)
     tags: int = 1
     chars: int = 0
@@ -59,36 +61,39 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     density_sum: float = 0.0
+    own: tuple | None = None
 
     def nodes(self):
         return (x for x in self.parts if isinstance(x, Node))
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _is_chrome(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is chrome for certain, and whether its class or id says so."""
     if tag in CHROME:
-        return True
+        return True, False
+    hint = False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(_NAME.findall(value)):
-            return True
+            return True, False
+        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(value.split()):
+            hint = True
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, False
+    return False, hint
 
 
 def _chain(node: Node):
-    """The open chrome elements that stand inside one another."""
-    while node is not None and node.chrome:
+    """The open elements, chrome or marked as such, that stand inside one another."""
+    while node is not None and node.marked:
         yield node
         node = node.parent
 
 
 def parse(source: str) -> Node:
-    """The tree of block elements below a root, with texts, and counts of tags and links; chrome has no texts."""
+    """The tree of block elements below a root, with texts, and counts of tags and links; what is chrome for certain has no texts."""
     root = node = Node("#root", None)
     link = 0
     i, n = 0, len(source)
@@ -112,7 +117,7 @@ def parse(source: str) -> Node:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in INLINE and not (_is_chrome(tag, m[3]) if not closing else any(x.tag == tag for x in _chain(node))):
+        if tag in INLINE and not (any(_is_chrome(tag, m[3])) if not closing else any(x.tag == tag for x in _chain(node))):
             if tag == "a":
                 link = 0 if closing else 1
                 node.link_tags += not closing
@@ -143,7 +148,8 @@ def parse(source: str) -> Node:
             if at.tag in closes or closes and at.tag == "p":
                 node = at.parent
             at = at.parent
-        child = Node(tag, node, node.chrome or _is_chrome(tag, m[3]))
+        chrome, hint = _is_chrome(tag, m[3])
+        child = Node(tag, node, node.chrome or chrome, hint, node.marked or chrome or hint)
         node.parts.append(child)
         node = child
     return root
@@ -166,6 +172,10 @@ def measure(root: Node) -> None:
     """
     order = _postorder(root)
     for node in order:
+        if node.own is None:
+            node.own = node.chars, node.tags, node.link_chars, node.link_tags
+        node.chars, node.tags, node.link_chars, node.link_tags = node.own
+        node.density = node.density_sum = 0.0
         for child in node.nodes():
             if not child.chrome:
                 node.chars += child.chars
@@ -207,23 +217,48 @@ def _content(root: Node) -> list[Node]:
     return chosen
 
 
+def _articles(root: Node) -> list[Node]:
+    return [x for x in _postorder(root)[::-1] if x.tag in ("article", "main") and not x.chrome]
+
+
+def _top(articles: list[Node]) -> Node | None:
+    return max(articles, key=lambda x: x.density_sum + x.chars * 1e-9, default=None)
+
+
+def settle(root: Node) -> None:
+    """Makes hinted elements chrome, except those that hold the page's article; root is measured before and after.
+
+    The article is the article or main element of the largest density sum, or without any the page; the hinted
+    elements around it stay, and those in it that hold its largest density sum.
+    """
+    measure(root)
+    if not any(x.hint for x in _postorder(root)):
+        return
+    top = _top(_articles(root))
+    at = _best(top if top is not None and top.chars else root)
+    while at is not None:
+        at.hint = False
+        at = at.parent
+    for node in _postorder(root)[::-1]:
+        node.chrome = node.chrome or node.hint or node.parent is not None and node.parent.chrome
+    measure(root)
+
+
 def main_text(source: str | None) -> str:
     """The article's text: its blocks in page order, each with single blanks, joined by one blank."""
     if not source:
         return ""
     root = parse(source)
-    articles = [x for x in _postorder(root)[::-1] if x.tag in ("article", "main") and not x.chrome]
-    measure(root)
-    if articles:
-        top = max(articles, key=lambda x: x.density_sum + x.chars * 1e-9)
-        if top.chars:
-            best = _best(root)
-            at = best
-            while at is not None and at is not top:
-                at = at.parent
-            # an article element that holds the densest subtree is that article, whole
-            if at is top or best.chars >= top.chars and any(x is top for x in _postorder(best)):
-                return _text([top])
+    settle(root)
+    top = _top(_articles(root))
+    if top is not None and top.chars:
+        best = _best(root)
+        at = best
+        while at is not None and at is not top:
+            at = at.parent
+        # an article element that holds the densest subtree is that article, whole
+        if at is top or best.chars >= top.chars and any(x is top for x in _postorder(best)):
+            return _text([top])
     return _text(_content(root))
 
 
@@ -257,8 +292,9 @@ def extract_text(
 
     The page becomes a tree of block elements, built from start and end tags
     with HTML's rules for omitted and misnested ones (inline elements only count
-    as tags). Elements that by kind, role, class or id are menus, headers,
-    footers, sidebars, notices, adverts, forms, comments or code are left out.
+    as tags). Elements that by kind or role are menus, headers,
+    footers, sidebars, notices, adverts, forms, comments or code are left out, and
+    so are those that a whole class or id names as such, unless the article is in them.
     Every node has its composite text density, and the sum of its children's
     densities; the largest sum marks the article. The least density on the path
     from there to the body is the threshold that further subtrees beside the
