@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+#: Those that hold all of the page's rest when they are never closed, and those that "/>" closes.
+TO_END = frozenset("script style title textarea".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -39,10 +42,11 @@ SCOPE = frozenset("html body article main section div table ul ol dl blockquote
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # quotes open a value directly after "=" only
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s\"'>][^\s>]*|=|[^>=]++)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 
 
 @dataclass
@@ -139,8 +143,11 @@ def parse(source: str) -> Node:
                 node.parts.append(" " if tag in ("br", "hr") else "")
             continue
         if tag in RAW:
+            if tag in FOREIGN and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, i)
-            i = end.end() if end else n
+            # without an end tag, what follows is the page's
+            i = end.end() if end else n if tag in TO_END else i
             continue
         closes = CLOSES.get(tag, set() if tag in INLINE else {"p"})
         at = node
