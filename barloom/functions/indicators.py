@@ -1,21 +1,26 @@
 """Indicator columns over bars.
 
 What is a frame of rows is a native window expression. What is a recursion over
-all rows (exponential and Wilder smoothing) is made by one Arrow-batched
-function per key, all of its columns in one pass.
+all rows (exponential and Wilder smoothing) is made by one function over Arrow
+batches of each key's sorted rows, all of its columns in one pass.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.config import EMA_PERIODS, RSI_PERIODS, STD_PERIODS
 
+from .streams import runs, streamed
+
 
 def bar_order(keys: Sequence[str] = ("symbol",)) -> Window:
     return Window.partitionBy(*keys).orderBy("bar_close_ts", "bar_id")
@@ -92,49 +97,101 @@ def seasonality(ts: Column) -> dict[str, Column]:
     }
 
 
-def wilder_rsi(close: np.ndarray, n: int) -> np.ndarray:
-    """Relative strength with Wilder's smoothing, seeded with the mean of the first n moves; nan for the first n rows."""
-    out = np.full(len(close), np.nan)
-    if len(close) <= n:
+class Smoothed:
+    """An exponential mean, fed part by part; weights decay through missing values, as pandas has it by default."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.mean, self.weight = alpha, math.nan, 1.0
+
+    def feed(self, values: np.ndarray) -> np.ndarray:
+        alpha, rest, mean, weight = self.alpha, 1 - self.alpha, self.mean, self.weight
+        out = []
+        for x in values.tolist():
+            if mean == mean:
+                weight *= rest
+                if x == x:
+                    if mean != x:
+                        mean = (weight * mean + alpha * x) / (weight + alpha)
+                    weight = 1.0
+            elif x == x:
+                mean = x
+            out.append(mean)
+        self.mean, self.weight = mean, weight
+        return np.array(out, float)
+
+
+class WilderRsi:
+    """Relative strength with Wilder's smoothing, seeded with the mean of the first n moves; fed moves part by part, nan for the first n - 1."""
+
+    def __init__(self, n: int):
+        self.n, self.first = n, np.empty(0)
+        self.up, self.down = Smoothed(1 / n), Smoothed(1 / n)
+
+    def feed(self, move: np.ndarray) -> np.ndarray:
+        out = np.full(len(move), np.nan)
+        lacking = self.n - len(self.first)
+        self.first = np.append(self.first, move[:lacking])
+        if not len(move) or len(self.first) < self.n:
+            return out
+        gain, loss = ([np.maximum(sign * m, 0) for m in (self.first, move[lacking:])] for sign in (1, -1))
+        seed = lacking > 0
+        up, down = (s.feed(np.append(x[0].mean(), x[1]) if seed else x[1]) for s, x in ((self.up, gain), (self.down, loss)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[lacking - seed :] = np.where(down > 0, 100 - 100 / (1 + up / down), np.where(up > 0, 100.0, np.nan))
         return out
-    move = np.diff(close)
-    gain, loss = np.maximum(move, 0), np.maximum(-move, 0)
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        seeded = np.concatenate([[x[:n].mean()], x[n:]])
-        return pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
 
-    up, down = smooth(gain), smooth(loss)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out[n:] = np.where(down > 0, 100 - 100 / (1 + up / down), np.where(up > 0, 100.0, np.nan))
-    return out
+def wilder_rsi(close: np.ndarray, n: int) -> np.ndarray:
+    """Relative strength of a whole series; nan for the first n rows."""
+    return np.append(np.full(min(len(close), 1), np.nan), WilderRsi(n).feed(np.diff(close)))
+
+
+class Recursive:
+    """One key's state: the last close and every smoothed value."""
+
+    def __init__(self):
+        def spans(*ns: int) -> list[Smoothed]:
+            return [Smoothed(2 / (n + 1)) for n in ns]
+
+        self.emas, (self.fast, self.slow, self.signal) = spans(*EMA_PERIODS), spans(12, 26, 9)
+        self.rsis = [WilderRsi(n) for n in RSI_PERIODS]
+        self.last: np.ndarray | None = None
+
+    def feed(self, close: np.ndarray) -> list[np.ndarray]:
+        """RECURSIVE of the next closes."""
+        line = self.fast.feed(close) - self.slow.feed(close)
+        signal = self.signal.feed(line)
+        fresh = self.last is None
+        move = np.diff(close if fresh else np.append(self.last, close))
+        self.last = close[-1:]
+        rsis = [np.append(np.full(int(fresh), np.nan), r.feed(move)) for r in self.rsis]
+        return [*[e.feed(close) for e in self.emas], line, signal, line - signal, *rsis]
 
 
 RECURSIVE = [f"ema_{n}" for n in EMA_PERIODS] + ["macd_line", "macd_signal", "macd_hist"] + [f"rsi_{n}" for n in RSI_PERIODS]
 
 
 def with_recursive(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """bars with RECURSIVE columns; a key's bars (not ticks) are one group."""
-
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bar_close_ts", "bar_id"], kind="stable")
-        close = frame["close"]
-
-        def ema(x: pd.Series, n: int) -> pd.Series:
-            return x.ewm(span=n, adjust=False).mean()
-
-        line = ema(close, 12) - ema(close, 26)
-        signal = ema(line, 9)
-        made = {f"ema_{n}": ema(close, n) for n in EMA_PERIODS}
-        made |= {"macd_line": line, "macd_signal": signal, "macd_hist": line - signal}
-        made |= {f"rsi_{n}": wilder_rsi(close.to_numpy(), n) for n in RSI_PERIODS}
-        return frame.assign(**made)
-
-    kinds = ", ".join(f"{c} double" for c in RECURSIVE)
-    spelled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
-    out = bars.groupBy(*keys).applyInPandas(smooth, f"{spelled}, {kinds}")
-    # missing is null, never nan: nan would compare as the largest number
-    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in RECURSIVE if c.startswith("rsi")})
+    """bars with RECURSIVE columns; a key's bars stream through one task, batch by batch. Missing is null, never nan."""
+    keys = list(keys)
+    order = [F.col(c).asc_nulls_last() for c in ("bar_close_ts", "bar_id")]
+
+    def walk(batches):
+        key, state = None, Recursive()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            close = batch.column("close").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            parts = []
+            for own, begin, end in runs(batch, keys):
+                if own != key:
+                    key, state = own, Recursive()
+                parts.append(state.feed(close[begin:end]))
+            made = [pa.array(np.concatenate(x), from_pandas=True) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *RECURSIVE])
+
+    kinds = StructType([*bars.schema.fields, *[StructField(c, DoubleType()) for c in RECURSIVE]])
+    return streamed(bars, keys, order).mapInArrow(walk, kinds)
 
 
 def decayed_mean(values: pd.Series, span: int, least: int) -> pd.Series:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.streams import runs, streamed
+
 
 def signal(threshold: Column) -> Column:
     """Backtest rule: 1 if p_long is above the threshold, else -1 if p_short is, else 0."""
@@ -42,26 +45,36 @@ def select_trades(signals: DataFrame, keys: Sequence[str], max_concurrent: int =
 
     signals: rows with the keys, entry_ts, bar_id, exit_ts. A position frees its
     slot at the entry that is not before its exit. Each key (symbol, fold,
-    parameters) is folded by itself over its few signals.
+    parameters) streams through one task, batch by batch: memory is one batch
+    and the open exits, however many signals there are.
     """
-    payload = [c for c in signals.columns if c not in keys]
-    rows = signals.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("entry_ts", "bar_id", "exit_ts", *[c for c in payload if c not in ("entry_ts", "bar_id", "exit_ts")]))).alias("s")
-    )
-    kind = rows.schema["s"].dataType
-    ts = signals.schema["exit_ts"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{ts}>").alias("open"), F.array().cast(kind).alias("taken"))
-
-    def step(state: Column, x: Column) -> Column:
-        open_ = F.filter(state["open"], lambda t: t > x["entry_ts"])
-        free = F.size(open_) < max_concurrent
-        return F.struct(
-            F.when(free, F.concat(open_, F.array(x["exit_ts"]))).otherwise(open_).alias("open"),
-            F.when(free, F.concat(state["taken"], F.array(x))).otherwise(state["taken"]).alias("taken"),
-        )
-
-    taken = F.aggregate("s", start, step)["taken"]
-    return rows.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.*")
+    keys = list(keys)
+    first = ["entry_ts", "bar_id", "exit_ts"]
+    columns = [*keys, *first, *[c for c in signals.columns if c not in keys and c not in first]]
+    rows = streamed(signals.select(*columns), keys, [F.col(c) for c in columns[len(keys) :]])
+
+    def walk(batches):
+        key, open_ = None, []
+        for batch in batches:
+            entries, exits = (_comparable(batch.column(c)) for c in ("entry_ts", "exit_ts"))
+            taken = []
+            for own, begin, end in runs(batch, keys):
+                if own != key:
+                    key, open_ = own, []
+                for i in range(begin, end):
+                    entry = entries[i]
+                    open_ = [t for t in open_ if t is not None and entry is not None and t > entry]
+                    if len(open_) < max_concurrent:
+                        open_.append(exits[i])
+                        taken.append(i)
+            if taken:
+                yield batch.take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(walk, rows.schema)
+
+
+def _comparable(times: pa.Array) -> list:
+    return (times.cast(pa.int64()) if pa.types.is_timestamp(times.type) else times).to_pylist()
 
 
 def with_pnl(trades: DataFrame, cost_bps: Column) -> DataFrame:
