@@ -39,8 +39,10 @@ def test_archive_round_trip(spark, tmp_path):
     assert {r["ts"].replace(tzinfo=None).year for r in rows} == {2023}
     assert rows[1]["quote_qty"] == pytest.approx(101.5 * 0.2) and [r["is_buyer_maker"] for r in rows[:4]] == [False, True, True, False]
     (tmp_path / "BTC-2023-11.zip.CHECKSUM").write_text("00  BTC-2023-11.zip\n")
-    with pytest.raises(PySparkException):
-        archive.verified(archive.files(spark, str(tmp_path)), archive.files(spark, str(tmp_path), "*.CHECKSUM")).collect()
+    wrong = archive.verified(archive.files(spark, str(tmp_path)), archive.files(spark, str(tmp_path), "*.CHECKSUM"))
+    for read in (wrong, wrong.select("file", "content"), archive.lines(wrong), archive.ticks(archive.lines(wrong), "BTC")):
+        with pytest.raises(PySparkException):
+            read.collect()
 
 
 def test_archive_without_csv(spark, tmp_path):
