@@ -9,6 +9,44 @@ from pyspark.sql import functions as F
 
 from .common import without_ids, written
 
+#: Characters of a text that lead its sort key, and their bytes (four a character at most).
+_HEAD = 8
+#: Sampled keys per range.
+_SAMPLES = 40
+
+
+def _sort_key(norm: Column) -> Column:
+    """A text's first bytes and its SHA-256, of one length for all texts: rows of the same key stand together."""
+    head = F.rpad(F.encode(F.substring(norm, 1, _HEAD), "UTF-8"), 4 * _HEAD, F.lit(b"\x00"))
+    return F.concat(head, F.unhex(F.sha2(norm, 256)))
+
+
+def _splitters(keys: DataFrame, ranges: int) -> list[str]:
+    """Bounds (hexadecimal) that cut the keys into about so many ranges of equal rows, from a sample.
+
+    At most some _SAMPLES short keys per range come to the driver, however long the texts are.
+    """
+    n = keys.count()
+    if ranges < 2 or n < 2:
+        return []
+    sample = keys.sample(min(1.0, _SAMPLES * ranges / n), seed=11).select(F.hex("key").alias("key"))
+    found = sorted(r["key"] for r in sample.collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _range_of(key: Column, splitters: list[str]) -> Column:
+    """How many splitters are not above the key: halving steps over their sorted array."""
+    if not splitters:
+        return F.lit(0)
+    bounds = F.transform(F.split(F.lit(",".join(splitters)), ","), F.unhex)
+    steps = [1 << i for i in range(len(splitters).bit_length())][::-1]
+    n = F.lit(len(splitters))
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, s: F.when((at + s <= n) & (F.get(bounds, at + s - 1) <= key), at + s).otherwise(at),
+    )
+
 
 def exact_dedup(
     df: DataFrame,
@@ -16,18 +54,23 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "min",
     normalise: Callable[[Column], Column] | None = None,
-    head_chars: int = 24,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Sampled splitters range-partition the normalised texts, each partition is
-    sorted outside memory, and neighbours are compared in full. The splitters
-    hold a text's first characters and its 64-bit hash instead of whole texts,
-    so what the sampling sends to the driver is small for texts of any length.
-    A slot drawn from the id comes last in the order: splitters may fall inside
-    a group of equal texts, so a group that holds a third of all rows is dealt
-    over many partitions. Each (text, slot) run gives one row, and these meet
-    by the text's SHA-256 in a partial aggregation.
+    A content sort:
+
+    1. Splitters from a sample cut the normalised texts, in order of their first
+       bytes, their SHA-256 and a hash of the id, into `ranges` ranges (default
+       four for each shuffle partition). The keys are short for texts of any
+       length. As the id counts, splitters fall inside a large group of equal
+       texts too, and deal it over many ranges.
+    2. A range is sorted outside memory by key, whole text and id, so equal
+       texts are neighbours, and each text is compared in full with the one
+       before it. A run of equal texts has its best id and its size.
+    3. A run at a range's end may go on in the next range: the last text of a
+       range and the first of the next are compared in full, and runs that go on
+       are added up. This reads two rows a range.
 
     keep: "min" or "max", which id of equal texts stays.
     normalise: applied to the text before the comparison; default none.
@@ -38,47 +81,86 @@ def exact_dedup(
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
+    pick = F.max if keep == "max" else F.min
     spark = df.sparkSession
-    slots = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), (normalise(text) if normalise else text).alias("norm"))
-    keyed = rows.select(
-        "id",
-        "norm",
-        F.substring("norm", 1, head_chars).alias("head"),
-        F.xxhash64("norm").alias("tag"),
-        F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"),
-    )
-    dealt = keyed.repartitionByRange("head", "tag", "slot")
-    run = Window.partitionBy("head", "tag", "slot", "norm")
+    keyed = rows.select("id", "norm", _sort_key(F.col("norm")).alias("content"))
+    slot = F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0"))
+    key = F.concat("content", slot)
+    splitters = _splitters(keyed.select(key.alias("key")), ranges)
+    placed = keyed.withColumn("range", _range_of(key, splitters)).repartition(F.col("range"))
     best = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
-    runs = dealt.select(
+    order = Window.partitionBy("range").orderBy("content", "norm", best)
+    fresh = ~F.col("norm").eqNullSafe(F.lag("norm").over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.select(
+        "range",
         "id",
-        F.row_number().over(run.orderBy(best)).alias("place"),
-        F.count(F.lit(1)).over(run).alias("n"),
-        F.unhex(F.sha2("norm", 256)).alias("digest"),
+        F.substring(F.col("content"), 4 * _HEAD + 1, 32).alias("digest"),
+        F.row_number().over(order).alias("row"),
+        fresh.alias("fresh"),
+        # the range's first and last text, for the comparison across ranges
+        F.when(F.row_number().over(order) == 1, F.col("norm")).alias("first_text"),
+        F.when(F.lead(F.lit(1)).over(order).isNull(), F.col("norm")).alias("last_text"),
+        "content",
+        "norm",
     )
-    runs = written(runs, "content-runs")
-    # a table of its own, so that the join below shuffles for itself and can split a large group
-    groups = written(
-        runs.where("place = 1")
-        .groupBy("digest")
-        .agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.sum("n").alias("group_size")),
-        "content-groups",
+    numbered = numbered.withColumn("run", F.sum(F.col("fresh").cast("int")).over(upto)).drop("content", "norm")
+    run = Window.partitionBy("range", "run")
+    runs = written(
+        numbered.select(
+            "range",
+            "run",
+            "id",
+            "digest",
+            "first_text",
+            "last_text",
+            (F.row_number().over(run.orderBy("row")) == 1).alias("leads"),
+            pick("id").over(run).alias("best"),
+            F.count(F.lit(1)).over(run).alias("n"),
+        ),
+        "content-runs",
     )
-    return runs.join(groups, "digest").select(
+    ends = _stitched(runs, pick)
+    # two rows a range at most
+    joined = runs.join(F.broadcast(ends), ["range", "run"], "left")
+    keep_id = F.when(F.col("whole_n").isNull(), F.col("best")).otherwise(F.col("whole_best"))
+    return joined.select(
         F.col("id").alias("doc_id"),
-        "keep_id",
-        F.col("group_size").cast("long"),
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("whole_n", "n").cast("long").alias("group_size"),
+        (F.col("leads") & F.col("id").eqNullSafe(keep_id)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def _stitched(runs: DataFrame, pick: Callable) -> DataFrame:
+    """Of the runs at the ranges' ends that go on across them: range, run, whole_best, whole_n of the run as a whole.
+
+    Its rows are at most two a range, so ordering all of them is one small task.
+    """
+    edges = runs.where("first_text IS NOT NULL OR last_text IS NOT NULL")
+    at_ends = edges.groupBy("range", "run").agg(
+        F.max("first_text").alias("first_text"), F.max("last_text").alias("last_text"), F.first("best").alias("best"), F.first("n").alias("n")
+    )
+    order = Window.orderBy("range", "run")
+    goes_on = F.coalesce(F.col("first_text") == F.lag("last_text").over(order), F.lit(False))
+    chained = at_ends.withColumn("chain", F.sum((~goes_on).cast("int")).over(order))
+    chain = Window.partitionBy("chain")
+    made = chained.select(
+        "range", "run", pick("best").over(chain).alias("whole_best"), F.sum("n").over(chain).alias("whole_n"), F.count(F.lit(1)).over(chain).alias("parts")
+    )
+    return made.where("parts > 1").drop("parts")
+
+
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of df that exact_dedup keeps, with all their columns.
 
-    Ids that several rows carry, and null ids, are looked up together with their text; of rows equal in both, one stays.
+    Ids that several rows carry, and null ids, are looked up together with their text; of rows equal in both, one
+    stays. Null and empty texts equal each other. Whatever further columns are called, they stay as they are. An empty
+    table gives no rows.
     """
     judged = written(exact_dedup(df, id_col, text_col, keep), "judged")
     many = written(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "ids")

@@ -15,6 +15,7 @@ from barloom.llm import minhash_dedup as M
 from barloom.llm.chat_format import conversation_digests, format_conversations
 from barloom.llm.common import word_count
 from barloom.llm.components import components
+from barloom.llm.exact_dedup import exact_dedup
 from barloom.llm.html_extract import main_text
 from barloom.llm.license_scan import TEMPLATES, scan_licenses
 from barloom.llm.packing import Rounds, pack_documents
@@ -385,3 +386,22 @@ def test_topk(spark, broadcast_mb):
         order = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:7]
         want += [(q, k + 1, i, int(s[i])) for k, i in enumerate(order)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
+@pytest.mark.parametrize(("keep", "ranges"), [("min", 1), ("max", 40), ("min", 300)])
+def test_exact_groups_over_many_ranges(spark, keep, ranges):
+    """A group of a third of all rows lies in many ranges; its runs are joined where they meet."""
+    rows = [(i, "same text") for i in range(900)] + [(i, f"t{i % 97}") for i in range(900, 1500)] + [(3000 + i, "") for i in range(300)] + [(5000 + i, f"same text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    made = exact_dedup(docs, keep=keep, ranges=ranges)
+    text = dict(rows)
+    got = made.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        same = groups[text[r["doc_id"]]]
+        best = (min if keep == "min" else max)(same)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (best, len(same), r["doc_id"] == best)
+        assert r["text_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
