@@ -7,10 +7,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, discard, joined_by_class, written
 from .components import components
 from .shingles import mix64, shingle_sets
 
@@ -175,8 +175,8 @@ def likely_pairs(buckets: DataFrame, percent: int, limit: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = written(docs.join(bounded(asked), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -284,6 +284,34 @@ def _block_pairs(members: DataFrame, key: str, size: str, block: int) -> DataFra
     )
 
 
+def _torn_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members (cluster, node, root) of torn clusters as rows of the pairs of blocks that they are in: with `key`, `side`.
+
+    A cluster's largest component is not compared with itself: the others are compared with one another, and with it.
+    So a large group with few strays costs as much as it has members, times the blocks of its strays.
+    """
+    parts = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
+    sizes = parts.groupBy("cluster").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"))
+    # one row for each torn cluster
+    sizes = sizes.select("cluster", F.col("top.root").alias("top"), F.col("top.m").alias("n_top"), (F.col("all") - F.col("top.m")).alias("n_rest"))
+    rows = members.join(bounded(written(sizes, "torn-sizes")), "cluster").withColumns(
+        {"in_top": F.col("root") == F.col("top"), "rest": F.ceil(F.col("n_rest") / block).cast("int"), "tops": F.ceil(F.col("n_top") / block).cast("int")}
+    )
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rest"))).cast("int")
+
+    def place(kind: int, low: Column, high: Column, side: Column | int) -> Column:
+        return F.struct(F.xxhash64("cluster", F.lit(kind), low, high).alias("key"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
+
+    def each(n: str, f) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+
+    with_rest = each("rest", lambda i: place(0, F.least(i, F.col("own")), F.greatest(i, F.col("own")), F.when(F.col("own") <= i, 0).otherwise(1)))
+    with_top = each("tops", lambda j: place(1, F.col("own"), j, 0))
+    from_top = each("rest", lambda i: place(1, i, F.col("own"), 1))
+    places = F.when(F.col("in_top"), from_top).otherwise(F.concat(with_rest, with_top))
+    return rows.withColumn("own", own).select("node", "root", F.explode(places).alias("place")).select("node", "root", "place.key", "place.side")
+
+
 def minhash_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -315,7 +343,8 @@ def minhash_dedup(
     5. Where a forest's edge is refuted and its ends are not in one component by
        other links, other pairs of that cluster (what likely pairs join) may
        still be links. Such clusters are compared in full across components,
-       in pairs of blocks of text_block texts, and only links leave a task.
+       in pairs of blocks of text_block texts, and only links leave a task; the
+       largest component of a cluster is compared with the others only.
 
     Empty and null texts have n_shingles 0 and stand alone. Rows that share an
     id are one document for links (each is returned). A row with a null id links
@@ -325,16 +354,16 @@ def minhash_dedup(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, shingle_words, bands, rows, bits), "signatures")
     sets = signed.where("n > 0")
+    # copies of a set have the same keys and sketch: a class takes any one's, and combines within tasks first
     classes = written(
-        sets.groupBy("print").agg(F.min("doc_id").alias("node")).where(F.col("node").isNotNull()), "classes"
-    )
-    nodes = written(
-        sets.join(classes, "print")
-        .where("doc_id = node")
-        .select("node", "n", "keys", "sketch")
-        .dropDuplicates(["node"]),
-        "nodes",
+        sets.groupBy("print")
+        .agg(
+            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "keys", "sketch")]
+        )
+        .where("node IS NOT NULL"),
+        "classes",
     )
+    nodes = written(classes.select("node", "n", "keys", "sketch").dropDuplicates(["node"]), "nodes")
     keyed = nodes.select(F.explode("keys").alias("band"), "node")
     shared = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
     buckets = _block_pairs(shared.join(nodes.select("node", "n", "sketch"), "node"), "band", "m", bucket_block)
@@ -352,18 +381,20 @@ def minhash_dedup(
     if not torn.isEmpty():
         clusters = components(pairs).withColumnRenamed("root", "cluster")
         open_ = clusters.join(torn.withColumnRenamed("a", "node"), "node", "left_semi").select("cluster").distinct()
-        members = clusters.join(open_, "cluster")
-        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-        members = members.join(sizes, "cluster").join(roots, "node", "left")
-        members = members.withColumn("root", F.coalesce("root", "node"))
-        texts = docs.join(members.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-        texts = texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-        blocks = _block_pairs(members.join(texts, "node"), "cluster", "m", text_block)
+        members = clusters.join(open_, "cluster").join(roots, "node", "left")
+        members = written(members.select("cluster", "node", F.coalesce("root", "node").alias("root")), "members")
+        ids = members.select(F.col("node").alias("doc_id"))
+        texts = docs.join(bounded(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        blocks = _torn_blocks(members, text_block).join(texts, "node")
         blocks = blocks.select("key", "side", "node", "root", "text").repartition("key").sortWithinPartitions("key")
         more = links_across(blocks, shingle_words, percent)
-        roots = components(written(links.unionAll(more), "links"))
-    placed = signed.select("doc_id", "n", "print").join(classes, "print", "left").join(roots, "node", "left")
-    component = F.coalesce("root", "node", "doc_id")
+        joined = written(links.unionAll(more), "links")
+        discard(roots)
+        roots = components(joined)
+    component = F.coalesce("root", "node")
+    known = written(classes.join(roots, "node", "left").select("print", "copies", component.alias("component")), "class-roots")
+    placed = joined_by_class(signed.select("doc_id", "n", "print"), known, "print", "copies")
+    component = F.coalesce("component", "doc_id")
     return placed.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -11,9 +11,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import common as K
+from barloom.llm import components as C
 from barloom.llm import minhash_dedup as M
 from barloom.llm.chat_format import conversation_digests, format_conversations
-from barloom.llm.common import word_count
+from barloom.llm.common import word_count, written
 from barloom.llm.components import components
 from barloom.llm.exact_dedup import exact_dedup
 from barloom.llm.html_extract import main_text
@@ -105,6 +107,51 @@ def test_components(spark):
         assert made.get(start, start) == min(seen)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_chain(spark, monkeypatch, shuffled):
+    """A chain of 1,000 nodes takes a number of steps that grows with its logarithm."""
+    steps = []
+
+    def counted(df, name):
+        steps.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(C, "written", counted)
+    nodes = list(range(1000))
+    if shuffled:
+        random.Random(3).shuffle(nodes)
+    made = C.components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long"))
+    assert {(r["node"], r["root"]) for r in made.collect()} == {(i, 0) for i in range(1000)}
+    assert steps.count("roots") <= 8 and steps.count("hangs") <= 24
+
+
+def test_torn_blocks_of_a_large_component(spark):
+    """Strays meet a large component once per block of strays; all pairs across components share a key, none within the largest."""
+    members = [(1, i, 0) for i in range(60)] + [(1, 100 + i, 100 + i // 3) for i in range(9)] + [(2, 200 + i, 200 + i) for i in range(5)]
+    rows = M._torn_blocks(spark.createDataFrame(members, "cluster long, node long, root long"), 4).collect()
+    met, at = set(), {}
+    for r in rows:
+        at.setdefault(r["key"], []).append(r)
+    for same in at.values():
+        left, right = ([r for r in same if r["side"] == s] for s in (0, 1))
+        met |= {(min(a["node"], b["node"]), max(a["node"], b["node"])) for a in left for b in (right or left)}
+    want = {(a[1], b[1]) for a in members for b in members if a[1] < b[1] and a[0] == b[0] and a[2] != b[2]}
+    assert want <= met and not [p for p in met if p[1] < 60]
+    assert max(sum(r["node"] == i for r in rows) for i in range(60)) == 3
+
+
+def test_classes_with_many_rows(spark, monkeypatch):
+    """Classes are found by broadcast, or by broadcast of the frequent and a shuffled join of the others."""
+    rows = spark.createDataFrame([(i, f"k{i % 5}" if i > 50 else "hot" if i else None) for i in range(80)], "id long, key string")
+    classes = written(spark.createDataFrame([("hot", 50, 1), *[(f"k{i}", 6, 2 + i) for i in range(4)]], "key string, copies long, c long"), "classes")
+    want = sorted((i, None if i == 0 else 1 if i <= 50 else 2 + i % 5 if i % 5 < 4 else None) for i in range(80))
+    for bound, hot in ((10, 10), (2, 10), (0, 10)):
+        monkeypatch.setattr(K, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(K, "HOT_ROWS", hot)
+        got = K.joined_by_class(rows, classes, "key", "copies").collect()
+        assert sorted((r["id"], r["c"]) for r in got) == want
+
+
 def test_license_containment(spark):
     rng = random.Random(2)
     fill = [f"w{i}" for i in range(300)]
