@@ -419,13 +419,13 @@ def test_url_templates_learn_from_labels(spark):
     assert {r["template"] for r in made if r["host"] == "h.io"} >= {"/news/*/x"}
 
 
-@pytest.mark.parametrize("broadcast_mb", [32, 0.001])
-def test_topk(spark, broadcast_mb):
+@pytest.mark.parametrize("block_mb", [32, 0.001])
+def test_topk(spark, block_mb):
     rng = np.random.default_rng(11)
     v = rng.normal(size=(400, 12)).astype(np.float32)
     v[50:120] = v[49]
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(5)
-    got = topk_search(frame, frame.where("vec_id % 20 = 0"), k=7, tile_rows=32, broadcast_mb=broadcast_mb).collect()
+    got = topk_search(frame, frame.where("vec_id % 20 = 0"), k=7, tile_rows=32, block_mb=block_mb).collect()
     e = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
     want = []
     for q in range(0, 400, 20):
@@ -435,6 +435,22 @@ def test_topk(spark, broadcast_mb):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [2.0**21, 2.0**40, 1e200])
+def test_topk_of_large_numbers(spark, size):
+    """Scores beyond 53, 63 and hundreds of bits are exact; those that no long holds are null, in the right places."""
+    rng = np.random.default_rng(int(np.log2(size)))
+    v = [[float(x) for x in np.floor(size * rng.normal(size=3))] for _ in range(60)] + [[size + 1.0, 1.0, 0.0], [size + 1.0, 1.0, 1.0], [1.0, 2.0, 3.0]]
+    frame = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").repartition(3)
+    got = topk_search(frame, frame.where("vec_id % 6 = 0"), k=50, tile_rows=16, block_mb=0.0001, scale=1.0).collect()
+    whole = [[int(x) for x in line] for line in v]
+    want = []
+    for q in range(0, len(v), 6):
+        s = [sum(a * b for a, b in zip(x, whole[q], strict=True)) for x in whole]
+        order = sorted((i for i in range(len(v)) if i != q), key=lambda i: (-s[i], i))[:50]
+        want += [(q, r + 1, i, s[i] if -(2**63) <= s[i] < 2**63 else None) for r, i in enumerate(order)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want, key=lambda x: x[:2])
+
+
 @pytest.mark.parametrize(("keep", "ranges"), [("min", 1), ("max", 40), ("min", 300)])
 def test_exact_groups_over_many_ranges(spark, keep, ranges):
     """A group of a third of all rows lies in many ranges; its runs are joined where they meet."""
