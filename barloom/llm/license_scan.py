@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, written
+
 #: Notices of public licenses; fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -26,145 +28,149 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
     "that the following conditions are met",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+    "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+    "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+    "USE OR PERFORMANCE OF THIS SOFTWARE",
+    "MIT-disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+    "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+    "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE.",
 }
 
 #: Words of a shingle.
 WORDS = 5
+#: Shingles of a window. Windows of texts begin every _STRIDE shingles, those of templates at every shingle.
+_WINDOW, _STRIDE = 6, 3
+#: Templates of fewer shingles are also retrieved by windows of a single one.
+_SHORT = 10
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; an empty one where the text begins or ends with something else."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    """Lower-cased runs of letters and digits."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """rows with `words`, and `hashes`: one of each five-word shingle in order. Rows of fewer words are left out."""
-    enough = rows.where(F.size("words") >= WORDS)
-    single = enough.withColumn("single", F.transform("words", lambda w: F.xxhash64(w)))
-    return single.withColumn(
-        "hashes",
-        F.transform(
-            F.sequence(F.lit(0), F.size("words") - WORDS),
-            lambda i: F.xxhash64(*[F.col("single")[i + k] for k in range(WORDS)]),
-        ),
-    ).drop("single")
+def _shingles(words: Column, size: Column | int) -> Column:
+    """Distinct runs of `size` words as texts."""
+    last = F.size(words) - size + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def _shingles(words: Column) -> Column:
+def _run_hashes(words: Column, size: int) -> Column:
+    """A hash for each run of `size` words in order."""
+    last = F.size(words) - size
     return F.when(
-        F.size(words) >= WORDS,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (WORDS - 1)), lambda i: F.array_join(F.slice(words, i, WORDS), " ")
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+        last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sample(j: int):
+    """The j-th order of hashes, whose least is a window's sample."""
+    return lambda h: F.xxhash64(h, F.lit(j))
+
+
+def _with_band_keys(rows: DataFrame, stride: int, bands: int, band_rows: int, short: Column, lengths: list[int]) -> DataFrame:
+    """rows (words, ..) with `keys`: structs of place (the window's first word) and the key of one of its bands.
+
+    short: whether runs of fewer than a window's shingles, and those of fewer than five words (of `lengths`), have keys too.
+    """
+    rows = rows.withColumn("singles", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("hashes", _run_hashes(F.col("singles"), WORDS))
+    n = bands * band_rows
+    rows = rows.withColumns({f"p{j}": F.transform("hashes", _sample(j)) for j in range(n)})
+    last = F.size("hashes") - _WINDOW
+
+    def key(kind: int, *values: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *values)
+
+    def window(i: Column) -> Column:
+        # several references keep the planner from computing the arrays anew for every window
+        least = [F.least(*[F.get(F.col(f"p{j}"), i + k) for k in range(_WINDOW)]) for j in range(n)]
+        bands_ = [key(b, *least[b * band_rows : (b + 1) * band_rows]) for b in range(bands)]
+        return F.transform(F.array(*bands_), lambda k: F.struct(i.alias("place"), k.alias("key")))
+
+    none = F.array().cast("array<struct<place:int,key:bigint>>")
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), window))
+    parts = [F.when(last >= 0, whole).otherwise(none)]
+
+    def each(hashes: Column, size: int) -> Column:
+        made = F.transform(hashes, lambda h, i: F.struct(i.alias("place"), key(100 + size, h).alias("key")))
+        return F.when(short, made).otherwise(none)
+
+    parts += [each(F.col("hashes"), WORDS)] + [each(_run_hashes(F.col("singles"), m), m) for m in lengths if m < WORDS]
+    return rows.withColumn("keys", F.concat(*parts)).drop("singles", "hashes", *[f"p{j}" for j in range(n)])
 
 
 def scan_licenses(
     df: DataFrame,
-    templates: Mapping[str, str] = TEMPLATES,
+    templates: Mapping[str, str] | DataFrame = TEMPLATES,
     id_col: str = "doc_id",
     text_col: str = "text",
     containment: float = 0.8,
-    bands: int = 10,
+    bands: int = 4,
+    band_rows: int = 2,
 ) -> DataFrame:
     """One row per document and template found in it: doc_id, license, containment, first_word, windows.
 
-    Texts are lower-cased runs of letters and digits. Overlapping windows of six
-    words, two apart, hold two five-word shingles each, and every shingle of the
-    text is in a window. A window has `bands` bands of one MinHash sample; it
-    retrieves the templates that hold the shingle whose hash is a sample. A
-    window with one shingle of a template finds it with a chance of
-    1 - 0.5**bands (0.999 at 10), one with two surely; a template of m
-    shingles gives at least m / 2 such windows. The text around
-    a retrieving window, as far as the template could reach, is then compared
-    exactly: the share of the template's shingles found there must be at least
-    `containment`. first_word is the first retrieving window's place, windows their number, containment the best.
-
-    Templates are a bounded set of constants; they are hashed once and become
-    literals of the plan. A row with a null or empty text, or fewer than five words,
-    yields nothing. Rows that share an id (null too) are one document. Extra
-    columns are ignored. An empty table, or no templates of five words, gives no rows.
-    """
-    spark = df.sparkSession
+    Texts are lower-cased runs of letters and digits. containment is the share of a template's distinct five-word
+    shingles that are in the document, compared as texts; a template is found from `containment` on, if a window
+    retrieves it.
 
-    def band_hash(i: int):
-        return lambda s: F.xxhash64(s, F.lit(i))
+    Windows of six shingles begin at every third shingle of a text, and at every one of a template. Each has `bands` keys,
+    of band_rows MinHash samples each; windows whose shingle sets have similarity s share one with a chance of
+    1 - (1 - s**band_rows)**bands, and equal ones surely. A copy with eight shingles in a row unchanged has an equal
+    window: so have all with a containment of 0.8 in a template of ten shingles or more, since changing a word costs
+    five shingles. Templates of fewer shingles are also retrieved by single shingles. first_word is the first
+    retrieving window's place, windows the number of windows that retrieve.
 
-    known = _hashed(
-        spark.createDataFrame(sorted(templates.items()), "license string, text string").select(
-            "license", F.filter(words_of(F.col("text")), lambda w: w != "").alias("words")
-        )
-    )
-    hashed = known.select(
-        "license",
-        F.size("words").alias("length"),
-        _shingles(F.col("words")).alias("shingles"),
-        *[F.transform("hashes", band_hash(i)).alias(f"h{i}") for i in range(bands)],
-    ).collect()
-    docs = _hashed(df.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")))
-    # the windows' starts are two apart, so each shingle is in one window; the last may have one shingle only
-    cut = docs.select(
-        "doc_id",
-        "words",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(2)),
-                lambda i: F.struct(
-                    (i + 1).alias("at"), F.col("hashes")[i].alias("s1"), F.get(F.col("hashes"), i + 1).alias("s2")
-                ),
-            )
-        ).alias("window"),
-    ).select("doc_id", "words", "window.at", "window.s1", "window.s2")
-    both = F.col("s2").isNotNull()
-    samples = [F.least(h(F.col("s1")), F.when(both, h(F.col("s2")))) for h in map(band_hash, range(bands))]
-
-    def found(rows) -> Column:
-        """Whether a band's sample is that of a shingle of one of the templates."""
-        out = F.lit(False)
-        for i, sample in enumerate(samples):
-            values = sorted({x for r in rows for x in r[f"h{i}"]})
-            out = out | sample.isin(values) if values else out
-        return out
-
-    hits = cut.where(found(hashed))
-    each = hits.select(
-        "doc_id",
-        "words",
-        "at",
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(
-                            found([r]),
-                            F.struct(
-                                F.lit(r["license"]).alias("license"),
-                                F.lit(r["length"]).alias("length"),
-                                F.array(*[F.lit(s) for s in r["shingles"]]).alias("shingles"),
-                            ),
-                        )
-                        for r in hashed
-                    ]
-                    or [F.lit(None).cast("struct<license:string,length:int,shingles:array<string>>")]
-                ),
-                lambda t: t.isNotNull(),
-            )
-        ).alias("t"),
-    )
-    low = F.greatest(F.col("at") - F.col("t.length") + WORDS, F.lit(1))
-    high = F.least(F.col("at") + F.col("t.length"), F.size("words"))
-    around = F.slice("words", low, high - low + 1)
-    share = F.size(F.array_intersect("t.shingles", _shingles(F.col("around")))) / F.size("t.shingles")
+    templates: license and text, as a mapping or as a DataFrame of any size: band keys are matched by a join, which
+    is broadcast only if they are few. Templates of fewer than five words are one shingle of as many words.
+
+    A row with a null or empty text yields nothing, nor does a null or empty template. Rows that share an id (null too) are
+    one document: the best containment counts. Repeated rows count their windows each. Extra
+    columns are ignored. An empty table, or no templates, gives no rows.
+    """
+    spark = df.sparkSession
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    known = templates.select("license", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    known = known.withColumn("shingles", _shingles(F.col("words"), F.least(F.size("words"), F.lit(WORDS))))
+    known = written(known, "licenses")
+    short = F.size("shingles") < _SHORT
+    lengths = known.where(short).select(F.least(F.size("words"), F.lit(WORDS)).alias("n")).distinct().orderBy("n")
+    # five values at most
+    lengths = [r["n"] for r in lengths.collect()]
+    own_length = F.least(F.size("words"), F.lit(WORDS))
+    keys = _with_band_keys(known.withColumn("n", own_length), 1, bands, band_rows, short, lengths)
+    keys = keys.select("license", F.explode_outer("keys").alias("k")).select("license", "k.key").distinct()
+    keys = written(keys, "license-keys")
+
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    tag = F.xxhash64("text")
+    cut = docs.select("doc_id", tag.alias("tag"), words_of(F.col("text")).alias("words"))
+    cut = _with_band_keys(cut, _STRIDE, bands, band_rows, F.lit(bool(lengths)), lengths)
+    # only ids, places and keys meet the templates; texts come back for the few documents that are retrieved
+    # outer: else the planner asks below the explosion whether there are keys, by computing them there anew
+    met = cut.select("doc_id", "tag", F.explode_outer("keys").alias("k")).select("doc_id", "tag", "k.place", "k.key").join(bounded(keys), "key")
+    hits = met.groupBy("doc_id", "tag", "license").agg(F.min("place").alias("first_word"), F.countDistinct("place").alias("windows"))
+    hits = written(hits.select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"), "license", "first_word", "windows"), "license-hits")
+    found = docs.join(bounded(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (tag == F.col("hit_tag")))
+    found = found.join(bounded(known.select("license", "shingles", own_length.alias("n"))), "license")
+    words = found.withColumn("words", words_of(F.col("text"))).drop("text")
+    share = F.size(F.array_intersect("shingles", _shingles(F.col("words"), F.col("n")))) / F.size("shingles")
     return (
-        each.withColumn("around", around)
-        .select("doc_id", "at", F.col("t.license").alias("license"), share.alias("share"))
+        words.select("doc_id", "license", share.alias("share"), "first_word", "windows")
         .where(F.col("share") >= containment)
         .groupBy("doc_id", "license")
         .agg(
             F.max("share").alias("containment"),
-            (F.min("at") - 1).cast("long").alias("first_word"),
-            F.count(F.lit(1)).alias("windows"),
+            F.min("first_word").cast("long").alias("first_word"),
+            F.sum("windows").cast("long").alias("windows"),
         )
     )

@@ -174,6 +174,34 @@ def test_license_containment(spark):
     assert got == want
 
 
+def test_license_edited_copies(spark):
+    """Copies with changed words, of templates of one shingle up to hundreds, from a table; short ones are one shingle."""
+    rng = random.Random(15)
+    made = {f"t{m}": " ".join(f"{rng.choice('abc')}{rng.randrange(900)}" for _ in range(m)) for m in (2, 3, 5, 6, 9, 13, 14, 30, 60, 400)}
+    docs = []
+    for name, text in made.items():
+        words = text.split()
+        for edits in (0, 0, 1, 2, len(words) // 30, len(words) // 25, len(words) // 20):
+            own = list(words)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = "edited"
+            docs.append((len(docs), " ".join([f"f{rng.randrange(99)}" for _ in range(rng.randrange(9))] + own + ["end"]), "x"))
+
+    def shingles(words, k):
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+    want = set()
+    for i, text, _ in docs:
+        for name, t in made.items():
+            k = min(5, len(t.split()))
+            whole = shingles(t.split(), k)
+            if len(whole & shingles(text.split(), k)) >= 0.8 * len(whole):
+                want.add((i, name))
+    templates = spark.createDataFrame(list(made.items()) + [("none", None), ("empty", "")], "license string, text string")
+    found = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string, license string"), templates).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == want and len(found) == len(want) > 20
+
+
 def test_html_articles():
     rng = random.Random(4)
     for _ in range(60):
