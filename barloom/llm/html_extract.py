@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
 #: Those that hold all of the page's rest when they are never closed, and those that "/>" closes.
 TO_END = frozenset("script style title textarea".split())
-FOREIGN = frozenset("svg math".split())
+FOREIGN = frozenset(["svg"])
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mfrac mi mn mo mroot mrow msqrt msub msubsup msup mtext".split()
 )
+#: Elements that hold articles, by their names.
+ARTICLE = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold an article's text, and the roles of those that do neither.
 CHROME = frozenset("nav header footer aside form button dialog menu head".split()) | RAW
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
@@ -40,6 +43,9 @@ CLOSES = {
 #: Elements beyond which nothing is closed implicitly.
 SCOPE = frozenset("html body article main section div table ul ol dl blockquote td th".split())
 
+#: How much a density sum weighs where names speak against it.
+_DOUBT = 0.3
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
     # quotes open a value directly after "=" only
@@ -156,6 +162,8 @@ def parse(source: str) -> Node:
                 node = at.parent
             at = at.parent
         chrome, hint = _is_chrome(tag, m[3])
+        # an article's own header holds its title
+        chrome = chrome and not (tag == "header" and _within(node, ARTICLE))
         child = Node(tag, node, node.chrome or chrome, hint, node.marked or chrome or hint)
         node.parts.append(child)
         node = child
@@ -202,30 +210,59 @@ def measure(root: Node) -> None:
             node.density_sum += node.density
 
 
+def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
+    while node is not None:
+        if node.tag in tags:
+            return True
+        node = node.parent
+    return False
+
+
 def _best(root: Node) -> Node:
-    return max(_postorder(root)[::-1], key=lambda x: x.density_sum)
+    """The node of the largest density sum; sums outside the page's article elements, if it has some, and of marked nodes weigh less."""
+    order = _postorder(root)[::-1]
+    some = any(x.tag in ARTICLE and x.chars and not x.chrome for x in order)
+
+    def weighed(x: Node) -> float:
+        weight = _DOUBT if x.marked and not x.chrome else 1.0
+        return x.density_sum * weight * (_DOUBT if some and not _within(x, ARTICLE) else 1.0)
+
+    return max(order, key=weighed)
 
 
 def _content(root: Node) -> list[Node]:
-    """The subtrees of the article: the one of the largest density sum, and beside the path to it what is as dense as the path."""
+    """The subtrees of the article: the one of the largest density sum, and beside the path from it to the body what is as dense as the path.
+
+    In an article element the subtree is all of it, and outside it only other articles count that come near its
+    density sum. Headings beside the subtree are the article's, however short.
+    """
     best = _best(root)
+    weight = best.density_sum
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path if x.density > 0) if best.density_sum > 0 else 0.0
-    chosen = [best]
+    threshold = min(x.density for x in path if x.density > 0) if weight > 0 else 0.0
+    around = next((i for i, x in enumerate(path) if x.tag == "article"), 0)
+    path = path[around:]
+    chosen = [path[0]]
     on_path = {id(x) for x in path}
-    for node in path[1:]:
+    beyond = path[0].tag in ARTICLE
+    for depth, node in enumerate(path[1:]):
         for child in node.nodes():
-            if id(child) not in on_path and not child.chrome and child.density >= threshold > 0:
+            if id(child) in on_path or child.chrome or not weight:
+                continue
+            if beyond:
+                near = child.tag in ARTICLE and child.density_sum >= weight / 4
+            else:
+                near = child.density >= threshold or depth == 0 and child.tag in HEADINGS
+            if near:
                 chosen.append(child)
-        if node.tag in ("article", "main"):
-            break  # beyond the article's own element nothing belongs to it
+        beyond = beyond or node.tag in ARTICLE
     return chosen
 
 
 def _articles(root: Node) -> list[Node]:
-    return [x for x in _postorder(root)[::-1] if x.tag in ("article", "main") and not x.chrome]
+    return [x for x in _postorder(root)[::-1] if x.tag in ARTICLE and not x.chrome]
 
 
 def _top(articles: list[Node]) -> Node | None:
@@ -257,15 +294,6 @@ def main_text(source: str | None) -> str:
         return ""
     root = parse(source)
     settle(root)
-    top = _top(_articles(root))
-    if top is not None and top.chars:
-        best = _best(root)
-        at = best
-        while at is not None and at is not top:
-            at = at.parent
-        # an article element that holds the densest subtree is that article, whole
-        if at is top or best.chars >= top.chars and any(x is top for x in _postorder(best)):
-            return _text([top])
     return _text(_content(root))
 
 
@@ -300,10 +328,11 @@ def extract_text(
     The page becomes a tree of block elements, built from start and end tags
     with HTML's rules for omitted and misnested ones (inline elements only count
     as tags). Elements that by kind or role are menus, headers,
-    footers, sidebars, notices, adverts, forms, comments or code are left out, and
-    so are those that a whole class or id names as such, unless the article is in them.
+    footers, sidebars, notices, adverts, forms, comments or code are left out (not the header of an
+    article element), and so are those that a whole class or id names as such, unless the densest subtree is in them.
     Every node has its composite text density, and the sum of its children's
-    densities; the largest sum marks the article. The least density on the path
+    densities; the largest sum marks the article, whatever it is called: names
+    only weigh. The least density on the path
     from there to the body is the threshold that further subtrees beside the
     path must reach.
 
