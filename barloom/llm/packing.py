@@ -34,6 +34,9 @@ def _encoder(path: str, added: bool):
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    before = spec.get("pre_tokenizer") or {}
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or spec.get("normalizer"):
+        raise ValueError("only byte-level vocabularies with the plain split and no normaliser are supported")
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     if added and any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
         raise ValueError("added tokens that take blanks or whole words only are not supported")
@@ -73,45 +76,75 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: b
 
 
 class Rounds:
-    """Where a source's quanta stand in the stream of all sources.
+    """Where the sources' quanta stand in the stream of all sources.
 
     Deficit round-robin serves, time and again, the source that is furthest
-    behind its share. Source s's j-th quantum is due at (2 j + 1) / weight of s;
-    the order of these times is the order of service, and the quanta of any
-    source before a given time can be counted directly. So a task knows where
+    behind its share. A source of weight w is due with its j-th quantum at
+    (2 j + 1) / w; the order of these times is the order of service, and the quanta of
+    any source before a given time can be counted directly. So a task knows where
     its tokens go without the windows before them: deficits carry across windows
     and tasks by arithmetic alone.
+
+    Sources of the same weight are always due together, so one is not told
+    from the other but by its number of quanta: kinds are (weight, quanta), with how many sources
+    and tokens they have. However many sources there are, their weights, whole numbers that sum up to about
+    _UNIT, have some 1,500 different values at most. Ties go by weight, then to the source with more quanta, then by rank.
     """
 
-    def __init__(self, totals: np.ndarray, weights: np.ndarray, quantum: int):
-        self.totals, self.weights, self.quantum = totals, weights, quantum
-
-    def start(self, source: int, j: np.ndarray) -> np.ndarray:
-        """Tokens in the stream before the source's quanta j."""
-        out = self.quantum * j
-        own = int(self.weights[source])
-        for s in np.flatnonzero(self.totals).tolist():
-            if s == source:
-                continue
-            # quanta k of s with (2 k + 1) / weight before (2 j + 1) / own; ties go by the sources' order
-            ahead = (2 * j + 1) * int(self.weights[s]) - own
-            k = ahead // (2 * own) + 1 if s < source else -(-ahead // (2 * own))
-            out = out + np.minimum(self.quantum * np.maximum(k, 0), self.totals[s])
+    def __init__(self, kinds: list[tuple[int, int, int, int]], quantum: int):
+        """kinds: (weight, quanta, sources, tokens), each (weight, quanta) once."""
+        self.quantum = quantum
+        self.classes = []
+        table = np.array(sorted(kinds), np.int64).reshape(-1, 4)
+        for w in np.unique(table[:, 0]).tolist():
+            own = table[table[:, 0] == w]
+            sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(own[:, 2:], axis=0)])
+            self.classes.append((w, own[:, 1].copy(), sums))
+
+    def _served(self, quanta: np.ndarray, sums: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Tokens of a class's sources in their first k quanta each."""
+        at = np.searchsorted(quanta, k, side="right")
+        return sums[at, 1] + self.quantum * k * (sums[-1, 0] - sums[at, 0])
+
+    def start(self, j: np.ndarray, weight: np.ndarray, quanta: np.ndarray, rank: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Tokens in the stream before quanta j, each of a source of this weight and number of quanta.
+
+        rank, before: how many sources of the same kind come before it, and their tokens.
+        """
+        q = self.quantum
+        out = q * j
+        for w, counts, sums in self.classes:
+            # quanta k with (2 k + 1) / w before (2 j + 1) / weight
+            ahead = (2 * j + 1) * w - weight
+            k = np.where(w < weight, ahead // (2 * weight) + 1, -(-ahead // (2 * weight)))
+            own = w == weight
+            k = np.maximum(np.where(own, j, k), 0)
+            out = out + self._served(counts, sums, k)
+            # of its own class: those with more quanta, and those of its kind with a lower rank, have had one more
+            more = sums[-1, 0] - sums[np.searchsorted(counts, quanta, side="right"), 0]
+            alike = np.where(j < quanta - 1, q * rank, before - rank * q * (quanta - 1))
+            out = out + np.where(own, q * more + alike - q * j, 0)
         return out
 
 
-def _pieces(begin: int, n: int, source: int, rounds: Rounds, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document that starts at `begin` of its source's queue: the pieces' starts, lengths and places in the stream."""
+def _pieces(begin: np.ndarray, n: np.ndarray, sources: tuple, rounds: Rounds, window: int) -> tuple[np.ndarray, ...]:
+    """Of documents that start at `begin` of their source's queue: the pieces' documents, starts, lengths and places.
+
+    sources: of each document's source the weight, quanta, rank and tokens before it, see Rounds.
+    """
     q = rounds.quantum
-    j = np.arange(begin // q, (begin + n - 1) // q + 1)
-    start = np.maximum(j * q, begin)
-    length = np.minimum((j + 1) * q, begin + n) - start
-    place = rounds.start(source, j) + start - j * q
-    start = start - begin
-    # quanta that follow each other in the stream are one piece
-    fresh = np.append(True, place[1:] != place[:-1] + length[:-1])
+    first = begin // q
+    per = (begin + n - 1) // q - first + 1
+    doc = np.repeat(np.arange(len(n)), per)
+    j = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    start = np.maximum(j * q, begin[doc])
+    length = np.minimum((j + 1) * q, (begin + n)[doc]) - start
+    place = rounds.start(j, *(x[doc] for x in sources)) + start - j * q
+    start = start - begin[doc]
+    # quanta of a document that follow each other in the stream are one piece
+    fresh = np.append(True, (place[1:] != place[:-1] + length[:-1]) | (doc[1:] != doc[:-1]))
     at = np.flatnonzero(fresh)
-    start, place, length = start[at], place[at], np.add.reduceat(length, at)
+    doc, start, place, length = doc[at], start[at], place[at], np.add.reduceat(length, at)
     # cut at the windows' bounds
     first, last = place // window, (place + length - 1) // window
     per = last - first + 1
@@ -119,7 +152,28 @@ def _pieces(begin: int, n: int, source: int, rounds: Rounds, window: int) -> tup
     w = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
     low = np.maximum(place[which], w * window)
     high = np.minimum((place + length)[which], (w + 1) * window)
-    return start[which] + low - place[which], high - low, low
+    return doc[which], start[which] + low - place[which], high - low, low
+
+
+def _queues(totals: DataFrame, proportions: Mapping[str | None, float] | None, exponent: float, quantum: int) -> DataFrame:
+    """Of (source, total): source, weight, quanta, rank, tokens_before: the sources' queues, see Rounds."""
+    if proportions:
+        known = totals.sparkSession.createDataFrame([(s, float(v)) for s, v in proportions.items()], "of string, share double")
+        shared = totals.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "total", F.coalesce("share", F.lit(0.0)).alias("share"))
+    else:
+        shared = totals.select("source", "total", F.pow(F.col("total").cast("double"), exponent).alias("share"))
+    shared = written(shared, "shares")
+    whole = shared.agg(F.sum("share")).first()[0] or 1.0
+    weighed = shared.select(
+        "source",
+        "total",
+        F.greatest(F.lit(1), F.round(F.col("share") / F.lit(whole) * _UNIT)).cast("long").alias("weight"),
+        F.ceil(F.col("total") / quantum).cast("long").alias("quanta"),
+    )
+    kind = Window.partitionBy("weight", "quanta").orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return weighed.select(
+        "*", F.count(F.lit(1)).over(kind).alias("rank"), F.coalesce(F.sum("total").over(kind), F.lit(0)).cast("long").alias("tokens_before")
+    )
 
 
 def pack_documents(
@@ -130,11 +184,11 @@ def pack_documents(
     source_col: str = "source",
     proportions: Mapping[str | None, float] | None = None,
     window: int = 2048,
+    exponent: float = 1.0,
     quantum: int = 256,
     end_id: int = 1,
-    max_queues: int = 4096,
     broadcast_rows: int = 500_000,
-    added_tokens: bool = False,
+    added_tokens: bool = True,
 ) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -142,16 +196,16 @@ def pack_documents(
     documents' tokens; deficit round-robin deals the queues in quanta to one
     stream, cut into windows: any run of windows has every source's
     share of tokens to within a quantum, while the source lasts. Only the last
-    window of all is short, to be padded. proportions: target shares by source; default is what the sources
-    hold, so that all last to the end. Sources without a share count as the least.
+    window of all is short, to be padded. proportions: target shares by source; sources without a share
+    count as the least. Without them a source's share goes with its tokens to the power of exponent: at 1 all sources
+    last to the end, below it small ones come sooner.
 
-    added_tokens: with it the ids are those that tokenizers gives with
-    add_special_tokens=False: a string of one of the file's added tokens in a
-    text is that token's one id. Without it such strings are ordinary text.
+    The ids are those that tokenizers gives with add_special_tokens=False: a string of one of the file's added tokens
+    in a text is that token's one id. With added_tokens=False such strings are ordinary text.
 
     Tokens are made once and kept in the shared folder; the tasks' sums per
-    source then give each document's place, so no tokens are shuffled. With
-    more than max_queues sources, queues are hashes of sources; proportions then hold per queue.
+    source then give each document's place, so no tokens are shuffled. Sources are a table, however many there are; what
+    tasks hold of them all are the kinds of their queues (see Rounds).
 
     Null and empty texts are the end id alone. Null ids and sources are ordinary
     values. Repeated rows are packed each. Extra columns are ignored. An empty table gives no rows.
@@ -159,52 +213,38 @@ def pack_documents(
     docs = df.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")
     )
-    if (docs.agg(F.approx_count_distinct("source")).first()[0] or 0) > max_queues * 0.8:
-        if proportions:
-            raise ValueError("proportions by source need at most max_queues sources")
-        docs = docs.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
     tokens = written(tokenized(docs, tokenizer_path, end_id, added_tokens), "tokens")
     sums = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("part_n")), "token-sums")
-    # one row per source: at most max_queues
-    totals = sums.groupBy("source").agg(F.sum("part_n").alias("total")).orderBy(F.col("source").asc_nulls_first()).collect()
-    sizes = np.array([r["total"] for r in totals], np.int64)
-    shares = sizes / max(sizes.sum(), 1)
-    if proportions:
-        shares = np.array([proportions.get(r["source"], 0.0) for r in totals])
-        shares = shares / max(shares.sum(), 1e-300)
-    rounds = Rounds(sizes, np.maximum(1, np.round(shares * _UNIT)).astype(np.int64), quantum)
-    number = {r["source"]: i for i, r in enumerate(totals)}
+    queues = written(_queues(sums.groupBy("source").agg(F.sum("part_n").alias("total")), proportions, exponent, quantum), "queues")
+    kinds = queues.groupBy("weight", "quanta").agg(F.count(F.lit(1)).alias("n"), (F.sum("total")).alias("tokens")).collect()
+    rounds = Rounds([tuple(r) for r in kinds], quantum)
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("base")
-    )
-    if sums.count() <= broadcast_rows:
+    bases = sums.select("source", F.col("part").alias("p"), F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("base"))
+    named = queues.select(F.col("source").alias("s"), "weight", "quanta", "rank", "tokens_before")
+    bases = written(bases.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("source"), "bases")
+    if bases.count() <= broadcast_rows:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
 
     def cut(batches):
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            rows = []
-            row_of = zip(*(batch.column(c).to_pylist() for c in ("source", "n", "begin")), batch.column("ids"), strict=True)
-            for i, (source, n, begin, ids) in enumerate(row_of):
-                start, length, place = _pieces(begin, n, number[source], rounds, window)
-                raw = ids.as_buffer()
-                x = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype("<u4").tobytes()
-                crc = [zlib.crc32(x[4 * a : 4 * (a + b)]) for a, b in zip(start.tolist(), length.tolist(), strict=True)]
-                rows += [i] * len(start)
-                for c, v in zip(columns, (start, length, crc, place // window, place % window), strict=True):
-                    c.append(v)
-            at = pa.array(rows, pa.int64())
-            start, length, crc, sequence, offset = (
-                pa.array(np.concatenate(c) if c else [], pa.int64()) for c in columns
-            )
+            begin, n, *sources = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "n", "weight", "quanta", "rank", "tokens_before"))
+            doc, start, length, place = _pieces(begin, n, tuple(sources), rounds, window)
+            crc, held, raw = [], -1, b""
+            ids = batch.column("ids")
+            for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True):
+                if d != held:
+                    held, own = d, ids[d].as_buffer()
+                    raw = memoryview(np.frombuffer(own, "<u2" if own.size == 2 * n[d] else "<u4").astype("<u4")).cast("B")
+                crc.append(zlib.crc32(raw[4 * a : 4 * (a + m)]))
+            at = pa.array(doc, pa.int64())
+            columns = (pa.array(x, pa.int64()) for x in (start, length, crc, n[doc], place // window, place % window))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), start, length, crc, batch.column("n").take(at), sequence, offset],
+                [batch.column("doc_id").take(at), *columns],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.select("doc_id", "source", "n", (F.col("base") + F.col("before")).alias("begin"), "ids").mapInArrow(
+    return placed.select("doc_id", "n", (F.col("base") + F.col("before")).alias("begin"), "weight", "quanta", "rank", "tokens_before", "ids").mapInArrow(
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -69,7 +69,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), added_tokens=True)
+    # small sources come sooner than their own share would have it
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), exponent=0.7, added_tokens=True)
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

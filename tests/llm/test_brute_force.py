@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -293,7 +294,6 @@ def test_packing_round_trip(spark):
     rng = random.Random(10)
     docs = [(i, "".join(rng.choices(["The ", "quick ", "brøwn ", "  ", "\n", "123", "don't ", "<|endoftext|>"], k=rng.randrange(0, 300))), rng.choice("aab") if i % 9 else None) for i in range(80)]
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t, _ in docs}
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
     rows = pack_documents(frame, tokenizer_file(), window=256, quantum=32).collect()
@@ -310,15 +310,62 @@ def test_packing_round_trip(spark):
         place += r["length"]
 
 
-def test_round_robin_order():
-    """The arithmetic order of service against serving the furthest behind, quantum by quantum."""
-    totals, quantum = np.array([1000, 0, 333, 97, 97]), 16
-    weights = np.array([20, 1, 7, 2, 2])
-    slots = sorted(((2 * j + 1) / w, s, j) for s, (t, w) in enumerate(zip(totals, weights, strict=True)) for j in range(-(-t // quantum)))
-    rounds, place = Rounds(totals, weights, quantum), 0
-    for _, s, j in slots:
-        assert rounds.start(s, np.array([j]))[0] == place
-        place += min(quantum, totals[s] - j * quantum)
+def test_places_against_a_deficit_counter(spark):
+    """The places of all quanta, computed at once, against serving the source that is furthest behind, one after the other."""
+    rng = random.Random(16)
+    quantum = 16
+    sources = [(f"s{i:02}", rng.choice([5, 16, 40, 97, 97, 333, 1000]), rng.choice([1, 1, 2, 7, 20])) for i in range(40)]
+    kind = lambda total, w: (w, -(-total // quantum))
+    kinds, ranks = {}, {}
+    for name, total, w in sources:
+        n, tokens = kinds.get(kind(total, w), (0, 0))
+        ranks[name] = n, tokens
+        kinds[kind(total, w)] = n + 1, tokens + total
+    rounds = Rounds([(*k, *v) for k, v in kinds.items()], quantum)
+    left = {name: total for name, total, _ in sources}
+    served = dict.fromkeys(left, 0)
+    place, want = 0, {}
+    while any(left.values()):
+        # deficit: what a source's weight gives it by now, less what it has had
+        name, total, w = min(
+            (s for s in sources if left[s[0]]), key=lambda s: (Fraction(2 * served[s[0]] + 1, s[2]), s[2], -kind(s[1], s[2])[1], ranks[s[0]][0])
+        )
+        want[name, served[name]] = place
+        given = min(quantum, left[name])
+        left[name] -= given
+        served[name] += 1
+        place += given
+    for name, total, w in sources:
+        j = np.arange(-(-total // quantum))
+        of = (np.full(len(j), x) for x in (*kind(total, w), *ranks[name]))
+        assert rounds.start(j, *of).tolist() == [want[name, i] for i in j.tolist()]
+
+
+@pytest.mark.parametrize(("n_sources", "how"), [(5000, {}), (4, {"proportions": {"q0": 5, "q1": 1, None: 2}}), (4, {"exponent": 0.5})])
+def test_packing_by_proportions(spark, n_sources, how):
+    """However many sources there are, every token has its place; windows hold the target shares while all sources last."""
+    rng = random.Random(17)
+    docs = [(i, " ".join(["word"] * rng.randrange(1, 400 if n_sources < 9 else 3)), f"q{i % n_sources}" if i % n_sources != 2 else None) for i in range(6000 if n_sources > 9 else 400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    rows = pack_documents(frame, tokenizer_file(), window=512, quantum=64, **how).collect()
+    place = 0
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["sequence_id"] * 512 + r["offset"] == place and r["offset"] + r["length"] <= 512
+        place += r["length"]
+    source = {i: s for i, _, s in docs}
+    sizes = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert place == sum(sizes.values()) and set(sizes) == set(source)
+    if n_sources < 9:
+        total = {s: sum(n for i, n in sizes.items() if source[i] == s) for s in set(source.values())}
+        share = {s: how["proportions"].get(s, 0) if "proportions" in how else total[s] ** 0.5 for s in total}
+        share = {s: v / sum(share.values()) for s, v in share.items()}
+        lasting = min(total[s] / v for s, v in share.items() if v) * 0.9
+        got = dict.fromkeys(total, 0)
+        for r in rows:
+            if r["sequence_id"] * 512 < lasting:
+                got[source[r["doc_id"]]] += r["length"]
+        for s, n in got.items():
+            assert abs(n - share[s] * sum(got.values())) <= 2 * 512
 
 
 URLS = [
