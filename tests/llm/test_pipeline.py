@@ -72,3 +72,31 @@ def test_copies_are_gone_whatever_the_order(spark, corpus):
     docs = table(spark, where, "documents").repartition(7)
     kept = P.unique(spark, docs, where)
     assert kept.count() == len({r[1] for r in rows})
+
+
+CLASHES = "mix_id long, mix_copy long, mix_copies long, doc string, score double, node long, kept boolean"
+
+
+@pytest.mark.parametrize("rows", ["some", "none"])
+def test_stages_on_odd_rows(spark, tmp_path, rows):
+    """Null texts, ids and sources, repeated rows, long texts and clashing columns, or no rows at all."""
+    extra = (1, 2, 3, "d", 0.5, 4, True)
+    long_text = " ".join(f"w{i % 700}" for i in range(20_000))
+    made = [(1, "a b c", "en", "s", 5, *extra), (1, "a b c", "en", "s", 5, *extra), (None, "a b d", "en", None, 5, *extra), (2, None, None, "t", None, *extra), (3, "", "en", "t", 0, *extra), (4, long_text, "en", "s", 9, *extra), (5, long_text + " x", "en", "s", 9, *extra)]
+    spark.createDataFrame(made if rows == "some" else [], f"{COLUMNS}, {CLASHES}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    ids = {}
+    for name, stage in P.STAGES:
+        out = written(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        if name != "pack":
+            assert out.columns == docs.columns
+            assert all(tuple(r)[5:] == extra for r in out.collect())
+            docs = out
+        ids[name] = sorted({str(r["doc_id"]) for r in out.collect()})
+    if rows == "none":
+        assert not any(ids.values())
+    else:
+        assert ids["toxicity"] == ["1", "2", "3", "4", "5", "None"]
+        assert len(set(ids["exact_dedup"]) & {"2", "3"}) == 1 and ids["near_dedup"][-1] == "None" and "5" not in ids["near_dedup"]
+        assert not {"2", "3"} & set(ids["mix"]) and ids["pack"] == ids["mix"]
