@@ -38,7 +38,8 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     """How many splitters are not above the key: halving steps over their sorted array."""
     if not splitters:
         return F.lit(0)
-    bounds = F.transform(F.split(F.lit(",".join(splitters)), ","), F.unhex)
+    # a constant: computed once, not for each row
+    bounds = F.expr(f"array({', '.join(f"X'{s}'" for s in splitters)})")
     steps = [1 << i for i in range(len(splitters).bit_length())][::-1]
     n = F.lit(len(splitters))
     return F.aggregate(
