@@ -71,7 +71,7 @@ def _run_hashes(words: Column, size: int) -> Column:
 
 
 def _sample(j: int):
-    """The j-th order of hashes, whose least is a window's sample."""
+    """The j-th order of hashes, whose least and greatest are a window's samples."""
     return lambda h: F.xxhash64(h, F.lit(j))
 
 
@@ -82,7 +82,8 @@ def _with_band_keys(rows: DataFrame, stride: int, bands: int, band_rows: int, sh
     """
     rows = rows.withColumn("singles", F.transform("words", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("hashes", _run_hashes(F.col("singles"), WORDS))
-    n = bands * band_rows
+    # the least and the greatest hash of a window are two samples
+    n = (bands * band_rows + 1) // 2
     rows = rows.withColumns({f"p{j}": F.transform("hashes", _sample(j)) for j in range(n)})
     last = F.size("hashes") - _WINDOW
 
@@ -91,8 +92,8 @@ def _with_band_keys(rows: DataFrame, stride: int, bands: int, band_rows: int, sh
 
     def window(i: Column) -> Column:
         # several references keep the planner from computing the arrays anew for every window
-        least = [F.least(*[F.get(F.col(f"p{j}"), i + k) for k in range(_WINDOW)]) for j in range(n)]
-        bands_ = [key(b, *least[b * band_rows : (b + 1) * band_rows]) for b in range(bands)]
+        samples = [pick(*[F.get(F.col(f"p{j}"), i + k) for k in range(_WINDOW)]) for pick in (F.least, F.greatest) for j in range(n)]
+        bands_ = [key(b, *samples[b * band_rows : (b + 1) * band_rows]) for b in range(bands)]
         return F.transform(F.array(*bands_), lambda k: F.struct(i.alias("place"), k.alias("key")))
 
     none = F.array().cast("array<struct<place:int,key:bigint>>")
@@ -113,7 +114,7 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     containment: float = 0.8,
-    bands: int = 4,
+    bands: int = 2,
     band_rows: int = 2,
 ) -> DataFrame:
     """One row per document and template found in it: doc_id, license, containment, first_word, windows.
@@ -164,13 +165,15 @@ def scan_licenses(
     found = found.join(bounded(known.select("license", "shingles", own_length.alias("n"))), "license")
     words = found.withColumn("words", words_of(F.col("text"))).drop("text")
     share = F.size(F.array_intersect("shingles", _shingles(F.col("words"), F.col("n")))) / F.size("shingles")
+    shares = words.select("doc_id", "license", share.alias("share"), "first_word", "windows")
+    # shares are looked at after the aggregate: the planner would compute them twice for a filter before it
+    right = F.col("share") >= containment
     return (
-        words.select("doc_id", "license", share.alias("share"), "first_word", "windows")
-        .where(F.col("share") >= containment)
-        .groupBy("doc_id", "license")
+        shares.groupBy("doc_id", "license")
         .agg(
             F.max("share").alias("containment"),
-            F.min("first_word").cast("long").alias("first_word"),
-            F.sum("windows").cast("long").alias("windows"),
+            F.min(F.when(right, F.col("first_word"))).cast("long").alias("first_word"),
+            F.sum(F.when(right, F.col("windows"))).cast("long").alias("windows"),
         )
+        .where(F.col("containment") >= containment)
     )
