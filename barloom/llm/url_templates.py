@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 #: Depth of the template tree; deeper segments are part of the last level.
 LEVELS = 4
@@ -47,10 +47,11 @@ def generalised(paths: DataFrame, min_children: int, max_share: float) -> DataFr
     for d in range(LEVELS):
         node = ["host", *[f"t{i}" for i in range(d)]]
         seg = f"s{d}"
-        children = paths.groupBy(*node, seg).agg(F.sum("n").alias("child_n"))
-        above = children.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("child_n").alias("node_n"))
+        children = written(paths.groupBy(*node, seg).agg(F.sum("n").alias("child_n")), "url-children")
+        above = written(children.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("child_n").alias("node_n")), "url-nodes")
         variable = (F.col("kids") >= min_children) & (F.col("child_n") <= max_share * F.col("node_n"))
-        names = children.join(above, node).select(*node, seg, F.when(variable, ANY).otherwise(F.col(seg)).alias(f"t{d}"))
+        # a node may have a third of all children: its row comes to them
+        names = children.join(bounded(above), node).select(*node, seg, F.when(variable, ANY).otherwise(F.col(seg)).alias(f"t{d}"))
         paths = written(paths.join(names, [*node, seg]), "url-level")
     return paths
 
