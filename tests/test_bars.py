@@ -126,3 +126,53 @@ def test_count_bars_and_percentile(spark):
     assert made.count() == 8 and made.agg(F.min("n_trades")).first()[0] == 5
     one = spark.range(1, 11).agg(index_percentile(F.col("id"), 0.5).alias("m"), index_percentile(F.col("id"), 0.95).alias("p")).first()
     assert (one["m"], one["p"]) == (6, 10)
+
+
+def tick_by_tick(rows, threshold, hours):
+    """The filter tick by tick, as it is told: (open, close, n, sums) of each bar."""
+    out, spos, sneg, last, bar = [], 0.0, 0.0, None, None
+    for t, lp in rows:
+        bar = bar or [t, 0]
+        bar[1] += 1
+        if last is not None:
+            spos, sneg = max(0.0, spos + lp - last), min(0.0, sneg + lp - last)
+        last = lp
+        if spos >= threshold or -sneg >= threshold or t - bar[0] >= hours * HOUR:
+            out.append((bar[0], t, bar[1], spos, sneg))
+            spos, sneg, bar = 0.0, 0.0, None
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "hours"), [(40, 168.0), (900, 168.0), (10**9, 0.05), (5000, 2.0)])
+def test_stretches_equal_the_loop(threshold, hours):
+    """Bars of a few ticks and of thousands, fed in parts."""
+    rng = random.Random(threshold)
+    t, lp, rows = 0, 0, []
+    for _ in range(20_000):
+        t += rng.randrange(1, 2_000_000)
+        lp += rng.randrange(-20, 21)
+        rows.append((t, lp))
+    state, got, i = Cusum(threshold, hours), [], 0
+    while i < len(rows):
+        part = rows[i : i + rng.randrange(1, 3000)]
+        got += state.feed([r[0] for r in part], [r[1] for r in part], [float(r[1]) for r in part], [1.0] * len(part))
+        i += len(part)
+    assert [(b[1], b[2], b[8], b[9], b[10]) for b in got] == tick_by_tick(rows, threshold, hours) and got
+
+
+@pytest.mark.parametrize(("threshold", "chunk_hours"), [(60, 1.0), (400, 1.0), (2500, 2.0), (2500, 0.2), (10**9, 5.0)])
+def test_chunks_equal_one_walk(spark, threshold, chunk_hours):
+    """Chunks with many bars, few, or none that both walks close."""
+    rng = random.Random(5)
+    rows = []
+    for s in ("A", "B", None):
+        t, lp = 0, 0
+        for i in range(3000):
+            t += rng.randrange(1, 20)
+            lp += rng.randrange(-20, 21)
+            rows.append((s, i, T0 + timedelta(seconds=t), math.exp(lp / 1e5), float(i % 7), lp))
+    rng.shuffle(rows)
+    ticks = spark.createDataFrame(rows, "symbol string, agg_id long, ts timestamp, price double, qty double, lp long").repartition(3)
+    made = cusum_bars(ticks, threshold, 3.0, F.col("lp"), chunk_hours=chunk_hours).orderBy("symbol", "seq").collect()
+    whole = cusum_bars(ticks, threshold, 3.0, F.col("lp"), chunk_hours=None).orderBy("symbol", "seq").collect()
+    assert [tuple(r) for r in made] == [tuple(r) for r in whole] and {r["symbol"] for r in whole} == {"A", "B"}
