@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,16 @@ def streamed(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 def runs(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
     """key, begin and end of the batch's runs of equal keys; nan equals nan."""
-    columns = [["nan" if v != v else v for v in batch.column(k).to_pylist()] for k in keys]
-    end = 0
-    for key, same in groupby(zip(*columns, strict=True) if keys else [()] * batch.num_rows):
-        begin, end = end, end + sum(1 for _ in same)
-        yield key, begin, end
+    if not batch.num_rows:
+        return
+    ends = {batch.num_rows}
+    for k in keys:
+        column = batch.column(k)
+        if pa.types.is_floating(column.type):
+            column = pc.if_else(pc.is_nan(column), math.nan, column).cast(pa.float64()).view(pa.int64())
+        ends.update(pc.run_end_encode(column).run_ends.to_pylist())
+    begin = 0
+    for end in sorted(ends):
+        values = (batch.column(k)[begin].as_py() for k in keys)
+        yield tuple("nan" if v != v else v for v in values), begin, end
+        begin = end

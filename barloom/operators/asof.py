@@ -32,18 +32,36 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], ts: str, val
     return out.select(*left.columns, *[F.col("last")[v].alias(v) for v in values])
 
 
-def assign_to_bars(ticks: DataFrame, bars: DataFrame) -> DataFrame:
+def assign_to_bars(ticks: DataFrame, bars: DataFrame, bucket_hours: float = 24.0) -> DataFrame:
     """Ticks with the bar (bar_id) of their symbol that closes first at or after them.
 
     Ticks at or before a symbol's first open, and after its last close, are left
     out. A tick at a close belongs to the bar that closes then, the first of
     several. Ticks and closes are sorted together, so there is no inequality join.
+
+    Time is cut into buckets, and each bucket of a symbol is a group of its own, with its closes and the first one after it,
+    which is all that its ticks can need. So one symbol's ticks are as many tasks as it has buckets. What one
+    task sees of a whole symbol are its bars and its buckets.
     """
-    closes = bars.select("symbol", F.col("bar_close_ts").alias("ts"), "bar_id").withColumn("is_bar", F.lit(1))
+    width = int(bucket_hours * 3_600_000_000)
+
+    def bucket(ts: str) -> Column:
+        return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width).alias("bucket")
+
     opens = bars.groupBy("symbol").agg(F.min("bar_open_ts").alias("first_open"))
-    tape = ticks.withColumn("is_bar", F.lit(0)).unionByName(closes, allowMissingColumns=True)
+    closes = bars.select("symbol", F.col("bar_close_ts").alias("ts"), "bar_id", bucket("bar_close_ts"))
+    # each bucket that has ticks, as a mark before its closes: the first close of a later bucket stands behind its last
+    marks = ticks.select("symbol", bucket("ts")).distinct().select("symbol", F.lit(None).cast(closes.schema["ts"].dataType).alias("ts"), F.lit(None).cast(closes.schema["bar_id"].dataType).alias("bar_id"), "bucket")
+    back = Window.partitionBy("symbol").orderBy(F.desc("bucket"))
+    # of equal closes the first bar counts
+    first = F.struct("ts", "bar_id")
+    firsts = marks.unionByName(closes).groupBy("symbol", "bucket").agg(F.min(F.when(F.col("ts").isNotNull(), first)).alias("first"))
+    later = firsts.select("symbol", "bucket", F.last("first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("next"))
+    later = later.where("next IS NOT NULL").select("symbol", "next.ts", "next.bar_id", "bucket")
+    known = closes.unionByName(later).withColumn("is_bar", F.lit(1))
+    tape = ticks.withColumn("bucket", bucket("ts")).withColumn("is_bar", F.lit(0)).unionByName(known, allowMissingColumns=True)
     # backwards in time: the frame grows row by row, where one that looks ahead would be read anew for every row
-    back = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("is_bar"), F.desc("bar_id"))
-    nearest = F.last("bar_id", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    group = Window.partitionBy("symbol", "bucket").orderBy(F.desc("ts"), F.desc("is_bar"), F.desc("bar_id"))
+    nearest = F.last("bar_id", ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, 0))
     assigned = tape.withColumn("bar_id", nearest).where("is_bar = 0")
-    return assigned.where("bar_id IS NOT NULL").join(opens, "symbol").where("ts > first_open").drop("is_bar", "first_open")
+    return assigned.where("bar_id IS NOT NULL").join(opens, "symbol").where("ts > first_open").drop("is_bar", "first_open", "bucket")

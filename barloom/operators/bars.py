@@ -145,7 +145,7 @@ def _walked(tape: DataFrame, threshold: float, max_hours: float) -> DataFrame:
 
 
 def cusum_bars(
-    ticks: DataFrame, threshold: float, max_hours: float = 168.0, log_price: Column | None = None, chunk_hours: float | None = 24.0 * 30
+    ticks: DataFrame, threshold: float, max_hours: float = 168.0, log_price: Column | None = None, chunk_hours: float | None = 24.0 * 7
 ) -> DataFrame:
     """Bars of ticks (symbol, agg_id, ts, price, qty): BAR_COLUMNS.
 
@@ -180,7 +180,8 @@ def cusum_bars(
     tape = tape.withColumn("agg_id", F.col("agg_id").cast("long"))
 
     def sorted_(rows: DataFrame) -> DataFrame:
-        return rows.repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk", "t", "agg_id")
+        # dealt by an expression of its own: a join's shuffle by symbol and chunk may be split where a partition is large
+        return rows.repartition(F.xxhash64("symbol", "chunk")).sortWithinPartitions("symbol", "chunk", "t", "agg_id")
 
     walked = _walked(sorted_(tape), threshold, max_hours)
     bars = walked.where("seq IS NOT NULL")
@@ -210,13 +211,14 @@ def _stitched(tape: DataFrame, walked: DataFrame, walk) -> DataFrame:
     state = F.struct(*_STATE)
     # the state in which each chunk ends, as far as is known by now
     ends = walked.where("seq IS NULL").select(*key, state.alias("end"))
+    own_ends = ends.withColumnRenamed("end", "own_end")
     entered = ends.select(*key, F.lag("end").over(by_chunk).alias("entry")).where("entry IS NOT NULL")
-    todo, fixed, few = written(entered, "cusum-entries"), None, 16
+    todo, fixed, few = written(entered, "cusum-entries"), None, 8
     while not todo.isEmpty():
         # up to the close of some bars of the chunk's own walk; all of the chunk if that was not enough
         reach = own.where(F.col("seq") == few - 1).select(*key, F.col("close_t").alias("reach")) if few else None
         asked = todo.join(reach, key, "left") if few else todo.withColumn("reach", F.lit(None).cast("long"))
-        some = tape.join(asked, key).where(F.col("reach").isNull() | (F.col("t") <= F.col("reach"))).drop("reach")
+        some = tape.join(F.broadcast(asked) if todo.count() <= 100_000 else asked, key).where(F.col("reach").isNull() | (F.col("t") <= F.col("reach"))).drop("reach")
         again = written(walk(some), "cusum-again")
         met = again.where("seq IS NOT NULL").join(closes, [*key, "close_t", "close_id"])
         met = met.groupBy(*key).agg(F.min_by(F.struct("seq", "own_seq"), "seq").alias("at"))
@@ -231,11 +233,13 @@ def _stitched(tape: DataFrame, walked: DataFrame, walk) -> DataFrame:
         fixed = (made, kept) if fixed is None else tuple(
             old.join(new_keys, key, "left_anti").unionByName(new) for old, new, new_keys in ((fixed[0], made, kept.select(*key)), (fixed[1], kept, kept.select(*key)))
         )
-        fixed = tuple(written(x, "cusum-fixed") for x in fixed)
         # where the walks never meet, the next chunk begins from another state than it was given
-        torn = done.where("at IS NULL").select(*key, F.col("new_end").alias("end"))
-        now = ends.join(torn.withColumnRenamed("end", "other"), key, "left").select(*key, F.coalesce("other", "end").alias("end"), F.col("other").isNotNull().alias("moved"))
-        ends = written(now, "cusum-ends")
+        news = done.join(own_ends, key).select(*key, F.when(F.col("at").isNull(), F.col("new_end")).otherwise(F.col("own_end")).alias("other"))
+        moved = F.col("other").isNotNull() & ~F.col("other").eqNullSafe(F.col("end"))
+        ends = ends.join(news, key, "left").select(*key, F.coalesce("other", "end").alias("end"), moved.alias("moved"))
+        if judged.where("at IS NULL").isEmpty() and few:
+            break  # all walks met, so no end has moved
+        ends = written(ends, "cusum-ends")
         after = ends.select(*key, F.lag("end").over(by_chunk).alias("entry"), F.lag("moved").over(by_chunk).alias("anew")).where("anew")
         entries = ends.select(*key, F.lag("end").over(by_chunk).alias("entry")).join(short, key, "left_semi")
         todo = written(entries.unionByName(after.drop("anew")).dropDuplicates(key), "cusum-entries")
