@@ -49,6 +49,7 @@ COST_SCENARIOS = {
     "current_default": 11.0,
     "conservative": 15.0,
 }
+#: Periods of the feature contract; fixed values.
 EMA_PERIODS = (5, 10, 15, 20, 50)
 STD_PERIODS = (5, 10, 15, 20, 50)
 RSI_PERIODS = (6, 10, 14)

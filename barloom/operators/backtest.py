@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.streams import runs, streamed
+from barloom.sources.scratch import written
 
 
 def signal(threshold: Column) -> Column:
@@ -121,6 +122,8 @@ def metrics(trades: DataFrame, keys: Sequence[str], n_bars: DataFrame | None = N
     are compounded as they are, and a year has 252 days, as published figures have it.
     """
     keys = list(keys)
+    # read three times below: trades are few, what they are made of is not
+    trades = written(trades, "trades")
     curve = equity_curve(trades, keys, start)
     falls = drawdown(curve, keys).groupBy(*keys).agg(F.min("drawdown").alias("max_dd"))
     r, neg = F.col("ret"), F.when(F.col("ret") < 0, F.col("ret"))

@@ -86,21 +86,22 @@ def day_return(bars: DataFrame) -> DataFrame:
 def week_position(bars: DataFrame) -> DataFrame:
     """bars with the close's place within the low and high of the last seven days; 0.5 in a flat week.
 
-    Rows of the same time count up to this one only: microseconds and place are one order.
+    Rows of the same time count up to this one only: a range of time before this one, and the rows of this time up to here.
     """
-    w = bar_order()
-    numbered = bars.withColumn("place", F.row_number().over(w))
     micros = F.unix_micros(F.col("bar_close_ts").cast("timestamp"))
-    week = Window.partitionBy("symbol").orderBy(micros).rangeBetween(-7 * 86_400_000_000, 0)
-    seen = F.collect_list(F.struct("place", "high", "low")).over(week)
-    upto = F.filter(seen, lambda r: r["place"] <= F.col("place"))
-    top, bottom = F.array_max(F.transform(upto, lambda r: r["high"])), F.array_min(F.transform(upto, lambda r: r["low"]))
-    made = numbered.withColumns({"week_high": top, "week_low": bottom})
+    before = Window.partitionBy("symbol").orderBy(micros).rangeBetween(-7 * 86_400_000_000, -1)
+    same = Window.partitionBy("symbol", "bar_close_ts").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0)
+    made = bars.withColumns(
+        {
+            "week_high": F.greatest(F.max("high").over(before), F.max("high").over(same)),
+            "week_low": F.least(F.min("low").over(before), F.min("low").over(same)),
+        }
+    )
     spot = (F.col("close") - F.col("week_low")) / (F.col("week_high") - F.col("week_low"))
     flat = F.col("week_high") == F.col("week_low")
     return made.withColumn(
         "weekly_range_pos", F.when(flat, 0.5).otherwise(F.least(F.greatest(spot, F.lit(0.0)), F.lit(1.0)))
-    ).drop("place", "week_high", "week_low")
+    ).drop("week_high", "week_low")
 
 
 def regime_ratio(bars: DataFrame, short: int = 50, long: int = 200) -> DataFrame:

@@ -262,7 +262,7 @@ def e28_touched_after(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {BARS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_close_ts, bar_id) AS k, count(*) OVER (PARTITION BY symbol) AS n_all FROM bars),
-e AS (SELECT *, CASE WHEN bar_id % 2 = 0 THEN 1 ELSE -1 END AS direction FROM numbered WHERE bar_id % 10 IN (0, 5)),
+e AS (SELECT *, CASE WHEN bar_id % 2 = 0 THEN 1 ELSE -1 END AS direction FROM numbered),
 h AS (SELECT e.symbol, e.bar_id, min(b.k - e.k) AS held FROM e JOIN numbered b ON b.symbol = e.symbol AND b.k > e.k AND b.k <= e.k + 24 WHERE b.high >= e.close * 1.04 OR b.low <= e.close * 0.96 GROUP BY ALL),
 x AS (SELECT e.*, h.held, b.high AS bh, b.low AS bl, z.close AS last_close FROM e LEFT JOIN h USING (symbol, bar_id) LEFT JOIN numbered b ON b.symbol = e.symbol AND b.k = e.k + h.held LEFT JOIN numbered z ON z.symbol = e.symbol AND z.k = e.k + 24),
 y AS (SELECT *, CASE WHEN held IS NULL THEN CASE WHEN k + 24 <= n_all THEN 'timeout' END WHEN direction = 1 AND bl <= close * 0.96 OR direction = -1 AND bh >= close * 1.04 THEN 'sl' ELSE 'tp' END AS exit_reason FROM x)
@@ -271,7 +271,7 @@ SELECT symbol, bar_id, direction, exit_reason, CASE WHEN exit_reason IS NOT NULL
 """)
 def w31_live_exits(spark: SparkSession, d: str) -> DataFrame:
     made = bars(spark, d)
-    entries = made.where("bar_id % 10 IN (0, 5)").select("symbol", "bar_id", F.when(F.col("bar_id") % 2 == 0, 1).otherwise(-1).alias("direction"))
+    entries = made.select("symbol", "bar_id", F.when(F.col("bar_id") % 2 == 0, 1).otherwise(-1).alias("direction"))
     return L.live_exits(entries, made, 0.04, 0.04, 24).select("symbol", "bar_id", "direction", "exit_reason", F.col("holding_bars").cast("bigint").alias("holding_bars"), *r6("exit_price"))
 
 
@@ -312,10 +312,10 @@ def c14_return_target(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_close_ts, bar_id) AS k FROM bars)
-SELECT a.symbol, a.bar_id AS entry_bar, b.bar_id, round(b.close, 6) AS close FROM n a JOIN n b ON a.symbol = b.symbol AND b.k > a.k AND b.k <= a.k + 3 WHERE a.bar_id % 25 = 0
+SELECT a.symbol, a.bar_id AS entry_bar, b.bar_id, round(b.close, 6) AS close FROM n a JOIN n b ON a.symbol = b.symbol AND b.k > a.k AND b.k <= a.k + 3
 """)
 def c13_bars_after_entry(spark: SparkSession, d: str) -> DataFrame:
     """The three bars after each entry, from a frame instead of a join."""
     ahead = F.collect_list(F.struct("bar_id", "close")).over(W().rowsBetween(1, 3))
-    made = bars(spark, d).withColumn("ahead", ahead).where("bar_id % 25 = 0")
+    made = bars(spark, d).withColumn("ahead", ahead)
     return made.select("symbol", F.col("bar_id").alias("entry_bar"), F.explode("ahead").alias("x")).select("symbol", "entry_bar", "x.bar_id", F.round("x.close", 6).alias("close"))
