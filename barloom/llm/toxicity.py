@@ -116,7 +116,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Per word: its evidence and an embedding, and those of its characters; a gated recurrence both ways; attention.
+    """Per word: its evidence and an embedding, and those of its characters in order; a gated recurrence both ways; attention.
+
+    The characters' embeddings are summed twice, weighted towards the word's beginning and towards its end.
 
     The evidence of a word and of its character n-grams is a smoothed log-odds
     of the documents that hold it, counted over the training rows into tables of
@@ -129,7 +131,7 @@ class Network:
         size = 1 << table_bits
         self.word_odds = np.zeros(size, np.float32)
         self.gram_odds = np.zeros(size, np.float32)
-        d = 3 + 2 * embedded
+        d = 3 + 3 * embedded
         init = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
         self.p = {"words": init(4096, embedded) * 0.1, "chars": init(256, embedded) * 0.1}
         for way in "fb":
@@ -158,19 +160,28 @@ class Network:
     def embed(self, words: Words, fixed: np.ndarray | None = None) -> np.ndarray:
         fixed = self.evidence(words) if fixed is None else fixed
         cell = (words.hashes & np.uint64(4095)).astype(np.int64)
-        lengths = np.diff(np.append(words.begins, len(words.letters)))
-        chars = np.add.reduceat(self.p["chars"][_LOWER[words.letters]], words.begins, axis=0) / lengths[:, None]
-        return np.hstack([fixed, self.p["words"][cell], chars.astype(np.float32)])
+        lengths, late = _late(words)
+        letters = self.p["chars"][_LOWER[words.letters]]
+        end = np.add.reduceat(letters * late, words.begins, axis=0) / lengths[:, None]
+        begin = np.add.reduceat(letters, words.begins, axis=0) / lengths[:, None] - end
+        return np.hstack([fixed, self.p["words"][cell], begin.astype(np.float32), end.astype(np.float32)])
+
+    def feed(self, x: np.ndarray, way: str) -> np.ndarray:
+        """What each input gives to the gates of one way, and a last row for places beyond a window's end."""
+        return np.vstack([x @ self.p["W" + way] + self.p["B" + way], np.zeros((1, 3 * self.hidden), np.float32)])
+
+    def run(self, x: np.ndarray, at: np.ndarray, keep: bool = False, fed_both: dict | None = None):
+        """Logits of windows; x: inputs of distinct words, at: their index per window and place, -1 beyond its end.
 
-    def run(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
-        """Logits of windows; x: inputs of distinct words, at: their index per window and place, -1 beyond its end."""
+        fed_both: feed() of both ways, where it is known.
+        """
         h, (n, length) = self.hidden, at.shape
         live = (at >= 0).astype(np.float32)
         out = np.empty((length, n, 2 * h), np.float32)
         whole = live.all(0)
         saved = {}
         for k, way in enumerate("fb"):
-            fed = np.vstack([x @ self.p["W" + way] + self.p["B" + way], np.zeros((1, 3 * h), np.float32)])
+            fed = fed_both[way] if fed_both else self.feed(x, way)
             u, state = self.p["U" + way], np.zeros((n, h), np.float32)
             steps = []
             for t in range(length) if way == "f" else range(length - 1, -1, -1):
@@ -227,14 +238,22 @@ class Network:
                 np.add.at(dx, at[:, t], (da @ w.T) * m)
         dx = dx[:-1]
         used = np.flatnonzero(np.abs(dx).sum(1))
-        lengths = np.diff(np.append(words.begins, len(words.letters)))
+        lengths, late = _late(words)
         cell = (words.hashes & np.uint64(4095)).astype(np.int64)
         np.add.at(g["words"], cell[used], dx[used, 3 : 3 + d])
-        spread = np.repeat(dx[used, 3 + d :] / lengths[used, None], lengths[used], axis=0)
-        np.add.at(g["chars"], _LOWER[words.letters[_ragged(words.begins[used], lengths[used])]], spread)
+        own = _ragged(words.begins[used], lengths[used])
+        begin, end = (np.repeat(dx[used, 3 + i * d : 3 + (i + 1) * d] / lengths[used, None], lengths[used], axis=0) for i in (1, 2))
+        np.add.at(g["chars"], _LOWER[words.letters[own]], begin * (1 - late[own]) + end * late[own])
         return g
 
 
+def _late(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' lengths, and how far towards its word's end each letter stands, from 0 to 1."""
+    lengths = np.diff(np.append(words.begins, len(words.letters)))
+    place = np.arange(len(words.letters)) - np.repeat(words.begins, lengths)
+    return lengths, ((place + 0.5) / np.repeat(lengths, lengths)).astype(np.float32)[:, None]
+
+
 def windows(words: Words, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """All overlapping windows, the last ones shorter: word indices (-1 beyond the end), and each one's document."""
     begin = np.concatenate([[0], words.upto[:-1]])
@@ -262,7 +281,8 @@ def _texts(texts: pa.Array):
 
 
 def _logits(net: Network, x: np.ndarray, at: np.ndarray, block: int = 2048) -> np.ndarray:
-    return np.concatenate([net.run(x, at[i : i + block]) for i in range(0, len(at), block)] or [np.zeros(0, np.float32)])
+    fed = {way: net.feed(x, way) for way in "fb"}
+    return np.concatenate([net.run(x, at[i : i + block], fed_both=fed) for i in range(0, len(at), block)] or [np.zeros(0, np.float32)])
 
 
 def score_texts(net: Network | None, texts: pa.Array, size: int, stride: int) -> np.ndarray:
@@ -310,7 +330,7 @@ def _take(words: Words, used: np.ndarray) -> Words:
 
 
 def train(
-    texts: list[str | None], labels: np.ndarray, size: int, stride: int, rounds: int = 3, rate: float = 0.02, seed: int = 7
+    texts: list[str | None] | pa.Array, labels: np.ndarray, size: int, stride: int, rounds: int = 3, rate: float = 0.02, seed: int = 7
 ) -> Network | None:
     """A network from labelled texts; None if a label is missing.
 
@@ -323,15 +343,19 @@ def train(
     if not len(labels) or labels.min() == labels.max():
         return None
     net, rng = Network(seed=seed), np.random.default_rng(seed)
-    words = _together([read_words(data, offsets) for data, offsets in _texts(pa.array(texts, pa.large_string()))])
+    n_texts = len(texts)
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    words = _together([read_words(data, offsets) for data, offsets in _texts(texts)])
+    del texts
     if not len(words.index):
         return None
     n = len(words.hashes)
-    half = np.zeros(len(texts), np.int64)
+    half = np.zeros(n_texts, np.int64)
     for y in (0, 1):
         half[np.flatnonzero(labels == y)[1::2]] = 1
-    doc_of_word = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], words.upto])))
+    doc_of_word = np.repeat(np.arange(n_texts), np.diff(np.concatenate([[0], words.upto])))
     held = np.unique(doc_of_word * n + words.index)
+    del doc_of_word
     doc, word = held // n, held % n
     gram_cell, counts = net.gram_cells(words)
     begins = np.cumsum(counts) - counts
@@ -340,6 +364,7 @@ def train(
     of_words = _counts(cells, net.cells(words.hashes), one, np.arange(n), doc, word, group)
     of_grams = _counts(cells, gram_cell, counts, begins, doc, word, group)
     docs_in = np.bincount(group, minlength=4)
+    del held, doc, word, gram_cell, counts, begins, one
 
     def count(halves: list[int]) -> None:
         g0, g1 = [2 * h for h in halves], [2 * h + 1 for h in halves]
@@ -355,7 +380,7 @@ def train(
     fixed = np.concatenate(fixed)
     both = _take(words, np.tile(np.arange(n), 2))
     at, doc = windows(words, size, stride)
-    at = np.where(at >= 0, at + n * half[doc][:, None], -1)
+    at = np.where(at >= 0, at + n * half[doc][:, None], -1).astype(np.int32)
     evidence = np.where(at >= 0, (fixed[:, 0] + fixed[:, 1])[at], 0).max(1)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
@@ -392,9 +417,11 @@ def fit(
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
     picked = [marks.where(F.col("label") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
     # at most 2 * sample_rows rows: the documented bound of the sample
-    sample = source.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "text", "label").toPandas()
-    sample = sample.sort_values(["doc_id", "label", "text"], kind="stable")
-    return train(sample["text"].tolist(), sample["label"].to_numpy(), window, stride)
+    sample = source.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "text", "label").toArrow()
+    sample = sample.sort_by([(c, "ascending") for c in ("doc_id", "label", "text")]).combine_chunks()
+    texts, labels = sample["text"].combine_chunks(), sample["label"].to_numpy()
+    del sample
+    return train(texts, labels, window, stride)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -426,7 +453,7 @@ def toxicity_scores(
     threshold: float = 0.3,
     sample_rows: int = 2000,
     window: int = 32,
-    stride: int = 24,
+    stride: int = 16,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -460,7 +487,7 @@ def drop_toxic(
     threshold: float = 0.5,
     sample_rows: int = 2000,
     window: int = 32,
-    stride: int = 24,
+    stride: int = 16,
 ) -> DataFrame:
     """The rows of df that score below the threshold, with all their columns; see toxicity_scores."""
     net = fit(df, labels, id_col, text_col, "doc_id", "toxic", sample_rows, window, stride)
