@@ -22,6 +22,12 @@ def session_overview(sessions: DataFrame, trades: DataFrame) -> DataFrame:
     return sessions.join(per, "session_id", "left").select(*sessions.columns, *zero.values())
 
 
+def runs_with_counts(runs: DataFrame, trades: DataFrame, key: str = "run_id") -> DataFrame:
+    """Every run with n_trades, 0 where it has none."""
+    counts = trades.groupBy(key).agg(F.count(F.lit(1)).alias("n_trades"))
+    return runs.join(counts, key, "left").select(*runs.columns, F.coalesce("n_trades", F.lit(0)).alias("n_trades"))
+
+
 def where_all(*conditions: tuple[str, object | None]) -> Column:
     """AND of column = value; a value of None or "all" asks nothing."""
     out = F.lit(True)

@@ -275,19 +275,6 @@ def w31_live_exits(spark: SparkSession, d: str) -> DataFrame:
     return L.live_exits(entries, made, 0.04, 0.04, 24).select("symbol", "bar_id", "direction", "exit_reason", F.col("holding_bars").cast("bigint").alias("holding_bars"), *r6("exit_price"))
 
 
-@query()
-def w01_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All 33 features of every bar; its parts have oracles of their own."""
-    made = bars(spark, d).withColumns({"cusum_pos": F.lit(0.02), "cusum_neg": F.lit(0.0)})
-    return I.build_features(made)
-
-
-@query()
-def w13_events(spark: SparkSession, d: str) -> DataFrame:
-    made = tier1.since_events(I.with_recursive(bars(spark, d)))
-    return made.select("symbol", "bar_id", *[c for c in made.columns if c.startswith("bars_since_")])
-
-
 @query(f"""
 WITH {BARS}, {labels_sql("0.05", "0.05", 24)}, f AS (SELECT symbol, bar_id, count(close) OVER (PARTITION BY symbol ORDER BY bar_id ROWS 95 PRECEDING) AS n, arg_min(bar_id, bar_id) OVER (PARTITION BY symbol ORDER BY bar_id ROWS 95 PRECEDING) AS first_bar FROM bars)
 SELECT f.symbol, f.bar_id, f.first_bar, f.n AS length FROM f JOIN labels l USING (symbol, bar_id) WHERE f.n = 96 AND l.exit_reason IS NOT NULL
