@@ -39,6 +39,12 @@ def complete_months(start: Column, today: Column) -> Column:
     )
 
 
+def days_to_catch_up(last: Column, today: Column, most: int = 14) -> Column:
+    """The days after the last one loaded, up to yesterday; the first `most` of them, none if there are none."""
+    first, end = F.date_add(last, 1), F.least(F.date_sub(today, 1), F.date_add(last, most))
+    return F.when(first <= end, F.sequence(first, end, F.expr("interval 1 day"))).otherwise(F.array().cast("array<date>"))
+
+
 def parse_line(line: Column) -> dict[str, Column]:
     """Columns of one archive line: agg_id, price, qty, first_id, last_id, epoch, is_buyer_maker[, best_match].
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def write_bars(bars: DataFrame, path: str) -> None:
     replace_partitions(bars, path, ["symbol", "threshold_bp"], ["bar_close_ts", "seq"])
 
 
+def read_bars(spark: SparkSession, path: str, symbol: str, threshold_bp: int, month: str | None = None) -> DataFrame:
+    """Bars of one symbol and threshold, of those that close in the month that begins at `month` if there is one."""
+    bars = spark.read.parquet(path).where((F.col("symbol") == symbol) & (F.col("threshold_bp") == threshold_bp))
+    if month is None:
+        return bars
+    first = F.lit(month).cast("date")
+    return bars.where((F.col("bar_close_ts") >= first.cast("timestamp")) & (F.col("bar_close_ts") < F.add_months(first, 1).cast("timestamp")))
+
+
 def write_features(features: DataFrame, path: str, feature_set: str) -> None:
     """base, tier1 and v2 matrices differ by a partition column, not by file name."""
     replace_partitions(features.withColumn("feature_set", F.lit(feature_set)), path, ["feature_set", "symbol"], ["bar_close_ts", "bar_id"])
@@ -54,6 +64,19 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
 
 
+def save_model(model: PipelineModel, folder: str, versions: list[str]) -> str:
+    """Saves a fitted pipeline as the version after those that there are, and returns its name."""
+    last = latest_version(versions)
+    name = f"v{int(last[len(last.rstrip('0123456789')) :] or 0) + 1 if last else 1}"
+    model.write().save(f"{folder}/{name}")
+    return name
+
+
+def load_model(folder: str, versions: list[str], name: str | None = None) -> PipelineModel:
+    """A saved pipeline: the latest version, or the one named."""
+    return PipelineModel.load(f"{folder}/{name or latest_version(versions)}")
+
+
 def latest_version(names: list[str]) -> str | None:
     """Of names that end in a number, the one of the highest: v10 is after v9."""
 

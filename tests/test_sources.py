@@ -15,6 +15,7 @@ from barloom.sources import archive, tables
 from barloom.sources.pull import PullSource
 from barloom.streaming import paper
 
+T0 = datetime(2024, 1, 1)
 HEADER = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker,best_match"
 LINES = [f"{i},{100 + i}.5,0.{i + 1},{i},{i},{1700000000000 + i if i % 2 else (1700000000000 + i) * 1000},{'True' if i % 3 else 'false'},True" for i in range(9)]
 
@@ -123,3 +124,64 @@ def test_paper_loop(spark, tmp_path):
     made = spark.read.parquet(str(tmp_path / "out"))
     assert {r["decision"]: r["count"] for r in made.groupBy("decision").count().collect()} == {"long": 5, "skip": 5}
     assert paper.undecided(spark.createDataFrame(rows, kind), made).count() == 0
+
+
+KIND = "symbol string, bar_id long, bar_close_ts timestamp, p_long double, p_short double, p_neutral double"
+BARS = [("A", i, datetime(2024, 1, 1) + timedelta(hours=i), 0.7 if i % 2 else 0.3, 0.2, 0.1) for i in range(10)]
+
+
+def test_a_halt_loses_no_bar(spark, tmp_path):
+    spark.createDataFrame(BARS, KIND).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out, halt = str(tmp_path / "out"), [True]
+
+    def start(checkpoint):
+        source = spark.readStream.schema(KIND).parquet(str(tmp_path / "in"))
+        query = paper.run(source, out, str(tmp_path / checkpoint), 0.6, 7, halted=lambda s: halt[0], once=True)
+        query.awaitTermination(120)
+
+    with pytest.raises(PySparkException, match="TradingHalted"):
+        start("k")
+    halt[0] = False
+    start("k")
+    assert spark.read.parquet(out).count() == 10
+    # another checkpoint sees all bars again, and decides none of them anew
+    start("other")
+    assert spark.read.parquet(out).count() == 10
+
+
+def test_session_lifecycle(spark, tmp_path):
+    kind = "session_id long, name string, started_at timestamp, ended_at timestamp, end_reason string"
+    rows = [(1, "a", T0, None, None), (2, "b", T0, None, None)]
+    where = str(tmp_path / "sessions")
+    paper.start_session(spark.createDataFrame(rows[:1], kind), where)
+    paper.start_session(spark.createDataFrame(rows, kind), where)
+    for reason in ("done", "again"):
+        paper.end_session(spark, where, 1, F.lit("2024-02-01").cast("timestamp"), reason)
+    got = {r["session_id"]: (r["name"], r["end_reason"]) for r in spark.read.parquet(where).collect()}
+    assert got == {1: ("a", "done"), 2: ("b", None)}
+
+
+def test_positions(spark, tmp_path):
+    """Entries while there is a slot, exits at barriers or by age, over several triggers."""
+    kind = "session_id long, symbol string, bar_id long, bar_close_ts timestamp, high double, low double, close double, decision string, reason string"
+    plan = [(100, 100, 100, "long"), (104, 99, 101, "short"), (106, 100, 105, "skip"), (105, 105, 105, "short"), (106, 104, 105, "skip"), (106, 104, 104, "long"), (104, 104, 104, "skip")]
+    rows = [(7, "A", i, T0 + timedelta(hours=i), float(h), float(low), float(c), d, "r") for i, (h, low, c, d) in enumerate(plan)]
+    for i in (0, 4):
+        spark.createDataFrame(rows[i : i + 4], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = paper.positions(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 0.05, 0.05, 2)
+        query = made.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    got = [(r["bar_id"], r["event"], r["reason"], r["holding_bars"]) for r in spark.read.parquet(str(tmp_path / "o")).orderBy("ts", "bar_id").collect()]
+    assert got == [(0, "entry", "r", 0), (1, "passed", "r", 0), (0, "exit", "tp", 2), (3, "entry", "r", 0), (3, "exit", "timeout", 2), (5, "passed", "r", 0)]
+
+
+def test_bar_reader_and_versions(spark, tmp_path):
+    rows = [("A", 200, i, T0 + timedelta(days=20 * i), T0 + timedelta(days=20 * i + 1), 1.0) for i in range(4)] + [("A", 150, 0, T0, T0, 2.0)]
+    kind = "symbol string, threshold_bp int, seq long, bar_open_ts timestamp, bar_close_ts timestamp, close double"
+    tables.write_bars(spark.createDataFrame(rows, kind), str(tmp_path / "bars"))
+    assert tables.read_bars(spark, str(tmp_path / "bars"), "A", 200).count() == 4
+    assert [r["seq"] for r in tables.read_bars(spark, str(tmp_path / "bars"), "A", 200, "2024-01-01").orderBy("bar_close_ts").collect()] == [0, 1]
+    days = spark.createDataFrame([("2024-01-01", "2024-01-05"), ("2024-01-01", "2024-03-01"), ("2024-01-04", "2024-01-05")], "a string, b string")
+    got = [len(r[0]) for r in days.select(T.days_to_catch_up(F.col("a").cast("date"), F.col("b").cast("date"))).collect()]
+    assert got == [3, 14, 0]
