@@ -59,12 +59,12 @@ def fit_platt(rows: DataFrame, label: str = "label") -> dict[str, tuple[float, f
     n = rows.count()
     out: dict[str, tuple[float, float] | None] = {}
     for i, c in enumerate(CLASSES):
-        part = VectorAssembler(inputCols=[c], outputCol="x").transform(rows.withColumn("y", (F.col(label) == i).cast("double")))
-        share = part.agg(F.avg("y")).first()[0]
+        part = VectorAssembler(inputCols=[c], outputCol="platt_in").transform(rows.withColumn("platt_y", (F.col(label) == i).cast("double")))
+        share = part.agg(F.avg("platt_y")).first()[0]
         if not share or share == 1.0:
             out[c] = None
             continue
-        m = LogisticRegression(labelCol="y", featuresCol="x", regParam=1.0 / n, standardization=False).fit(part)
+        m = LogisticRegression(labelCol="platt_y", featuresCol="platt_in", regParam=1.0 / n, standardization=False).fit(part)
         out[c] = (float(m.coefficients[0]), float(m.intercept))
     return out
 
