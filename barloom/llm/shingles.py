@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once; a longer document is worked on alone.
-_STEP = 2 << 20
+_STEP = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ _LETTER = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _LETTER[_a:_b] = True
 _GRAMS = (3, 4, 5)
-_STEP = 2 << 20
+_STEP = 1 << 19
 
 
 @dataclass
