@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .common import written
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Proportions are whole multiples of this share.
 _UNIT = 1 << 20
+#: Bytes of text tokenized at once.
+_STEP = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -46,6 +49,17 @@ def _encoder(path: str, added: bool):
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
+def _slices(batch: pa.RecordBatch):
+    """A batch in runs of rows with about _STEP bytes of text each; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + _STEP, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: bool = False) -> DataFrame:
     """Of (doc_id, source, text): doc_id, source, n, ids (little-endian, with end_id last), part, before.
 
@@ -59,17 +73,19 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, added_tokens: b
         encoder = _encoder(tokenizer_path, added_tokens)
         seen: dict[str | None, int] = {}
         for batch in batches:
-            ids, before, ns = [], [], []
-            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                x = np.array([*encoder.encode(text or "", allowed_special="all"), end_id], "<u4")
-                ids.append((x.astype("<u2") if x.max() < 65536 else x).tobytes())
-                ns.append(len(x))
-                before.append(seen.get(source, 0))
-                seen[source] = before[-1] + len(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ns), part), pa.int32()), pa.array(before, pa.int64())],
-                names=["doc_id", "source", "n", "ids", "part", "before"],
-            )
+            for rows in _slices(batch):
+                ids, before, ns = [], [], []
+                for source, text in zip(rows.column("source").to_pylist(), rows.column("text"), strict=True):
+                    found = encoder.encode_to_numpy(text.as_py() or "", allowed_special="all")
+                    x = np.append(found, np.uint32(end_id)).astype("<u4", copy=False)
+                    ids.append((x.astype("<u2") if x.max() < 65536 else x).tobytes())
+                    ns.append(len(x))
+                    before.append(seen.get(source, 0))
+                    seen[source] = before[-1] + len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("source"), pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ns), part), pa.int32()), pa.array(before, pa.int64())],
+                    names=["doc_id", "source", "n", "ids", "part", "before"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(encode, f"doc_id {kind}, source string, n long, ids binary, part int, before long")
