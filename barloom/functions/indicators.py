@@ -200,7 +200,7 @@ def decayed_mean(values: pd.Series, span: int, least: int) -> pd.Series:
 
 
 #: The feature columns in contract order; fixed values.
-FEATURES = tuple(
+FEATURES = (
     """
     ema_5 ema_10 ema_15 ema_20 ema_50 std_5 std_10 std_15 std_20 std_50 macd_line macd_signal macd_hist rsi_6 rsi_10 rsi_14
     stoch_k stoch_d williams_r bb_upper bb_lower ret_1 cmf_21 mfi_14 hour_sin hour_cos dow_sin dow_cos bar_duration_sec
