@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import conversation_digests, format_conversations
 from .common import table, word_count
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_text
 from .license_scan import scan_licenses
 from .minhash_dedup import minhash_dedup
@@ -83,6 +84,12 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -94,4 +101,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_templates": op9_url_templates,
     "op10_topk_search": op10_topk_search,
+    "op13_fill_middle": op13_fill_middle,
 }
