@@ -36,6 +36,42 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op11_importance_sample": r"""
+WITH lowered AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+  UNION ALL
+  SELECT 'b', NULL, -row_number() OVER (), translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), texts AS MATERIALIZED (
+  SELECT side, doc_id, row, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM lowered
+), counts AS MATERIALIZED (
+  SELECT side, row, word, count(*) AS n FROM (SELECT side, row, unnest(words) AS word FROM texts) GROUP BY ALL
+), strings AS (
+  SELECT word, hex(word) AS bytes, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS raw, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS aim
+  FROM counts GROUP BY word
+), hashed AS MATERIALIZED (
+  SELECT word, raw, aim, xor(4294967295, list_reduce(
+      list_transform(range(1, len(bytes) + 1, 2), lambda i: CAST('0x' || bytes[i:i + 1] AS BIGINT)),
+      lambda crc, byte: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+      4294967295)) % 10000 AS bucket
+  FROM strings
+), buckets AS (
+  SELECT bucket, CAST(sum(raw) AS DOUBLE) AS s, CAST(sum(aim) AS DOUBLE) AS t FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM buckets
+), weights AS (
+  SELECT row, CAST(sum(n * gain) AS BIGINT) AS weight FROM counts JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE)
+              / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (row) WHERE side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS FIRST) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM placed
 """,
     "op13_fill_middle": r"""
 WITH cut AS (

@@ -10,6 +10,7 @@ from .common import table, word_count
 from .exact_dedup import exact_dedup
 from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_text
+from .importance_sample import importance_resample
 from .license_scan import scan_licenses
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
@@ -84,6 +85,11 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resample(docs, target, longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
     digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
@@ -101,5 +107,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_templates": op9_url_templates,
     "op10_topk_search": op10_topk_search,
+    "op11_importance_sample": op11_importance_sample,
     "op13_fill_middle": op13_fill_middle,
 }
