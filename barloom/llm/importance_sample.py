@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 
 from barloom.operators.scan import positions
 
-from .common import BROADCAST_ROWS, written
+from .common import written
 
 #: A word: letters and digits of ASCII, and all that is beyond it (in UTF-8 each byte of it is), after A-Z are lower-cased.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -26,6 +26,10 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _STEP = 200_000
 
 
+#: Strings whose gains are broadcast at most: some tens of megabytes.
+FREQUENT = 200_000
+
+
 def _features(words: list[bytes], longest: int) -> Counter:
     counts = Counter(words)
     for n in range(2, longest + 1):
@@ -88,16 +92,16 @@ def bucket_gains(strings: DataFrame, buckets: int) -> DataFrame:
 
 
 def _least_count(priced: DataFrame) -> int:
-    """The least power of two that at most BROADCAST_ROWS strings reach with their count.
+    """The least power of two that at most FREQUENT strings reach with their count.
 
-    Of n features in all, no string that stays below it has more than 2 * n / BROADCAST_ROWS.
+    Of n features in all, no string that stays below it has more than 2 * n / FREQUENT.
     """
     # at most 64 rows: one for each number of binary digits
     digits = priced.groupBy(F.length(F.bin("raw")).alias("digits")).count().orderBy(F.desc("digits")).collect()
     least, strings = 1 << 62, 0
     for r in digits:
         strings += r["count"]
-        if strings > BROADCAST_ROWS:
+        if strings > FREQUENT:
             break
         least = 1 << (r["digits"] - 1)
     return least

@@ -56,7 +56,7 @@ def texts(n, seed=4):
 @pytest.mark.parametrize(("longest", "buckets", "broadcast"), [(1, 10_000, 1_000_000), (1, 10_000, 40), (1, 50, 0), (3, 1_000, 60)])
 def test_against_plain_python(spark, monkeypatch, longest, buckets, broadcast):
     """Also where gains of frequent strings alone, or none, may be broadcast."""
-    monkeypatch.setattr(M, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(M, "FREQUENT", broadcast)
     monkeypatch.setattr(M, "_STEP", 500)
     rows = list(enumerate(texts(300)))
     rows += [(7, "again and again " * 10)] * 3
@@ -84,7 +84,7 @@ def test_null_ids_and_empty_tables(spark):
 
 
 def test_rare_strings_are_few(spark, monkeypatch):
-    monkeypatch.setattr(M, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(M, "FREQUENT", 5)
     strings = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate([1] * 50 + [2] * 9 + [4, 5, 9, 100])], "feature string, raw long")
     assert M._least_count(strings) == 4
     assert M._least_count(strings.where("false")) == 1 << 62
