@@ -9,6 +9,7 @@ from .chat_format import conversation_digests, format_conversations
 from .common import table, word_count
 from .exact_dedup import exact_dedup
 from .fill_middle import fill_in_middle, restored
+from .fingerprints import fingerprint_documents
 from .html_extract import extract_text
 from .importance_sample import importance_resample
 from .license_scan import scan_licenses
@@ -90,6 +91,10 @@ def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(docs, target, longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
     digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
@@ -108,5 +113,6 @@ QUERIES = {
     "op9_url_templates": op9_url_templates,
     "op10_topk_search": op10_topk_search,
     "op11_importance_sample": op11_importance_sample,
+    "op12_fingerprints": op12_fingerprints,
     "op13_fill_middle": op13_fill_middle,
 }
