@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import ticks as T
@@ -30,6 +30,17 @@ def a01_complete_months(spark: SparkSession, d: str) -> DataFrame:
     return span.select(F.explode(T.complete_months(F.to_date("a"), F.to_date("b"))).alias("month"))
 
 
+def archive_line() -> Column:
+    """A tick as a line of an archive; odd ids' times are in milliseconds where nothing is lost."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts"))
+    epoch = F.when(F.col("agg_id") % 2 == 0, micros).otherwise(F.floor(micros / 1000))
+    whole_ms = micros % 1000 == 0
+    return F.concat_ws(
+        ",", "agg_id", F.col("price").cast("string"), F.col("qty").cast("string"), "agg_id", "agg_id",
+        F.when(whole_ms, epoch).otherwise(micros).cast("string"), F.initcap(F.col("is_buyer_maker").cast("string")), F.lit("True"),
+    )
+
+
 @query(f"""
 WITH {TICKS}
 SELECT agg_id, ts, round(price, 6) AS price, qty, round(price * qty, 6) AS quote_qty, is_buyer_maker FROM t
@@ -37,15 +48,8 @@ SELECT agg_id, ts, round(price, 6) AS price, qty, round(price * qty, 6) AS quote
 def a05_archive_lines(spark: SparkSession, d: str) -> DataFrame:
     """Ticks written as archive lines, header included, and read back by the archive's parser."""
     made = ticks(spark, d)
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts"))
-    epoch = F.when(F.col("agg_id") % 2 == 0, micros).otherwise(F.floor(micros / 1000))
-    whole_ms = micros % 1000 == 0
-    line = F.concat_ws(
-        ",", "agg_id", F.col("price").cast("string"), F.col("qty").cast("string"), "agg_id", "agg_id",
-        F.when(whole_ms, epoch).otherwise(micros).cast("string"), F.initcap(F.col("is_buyer_maker").cast("string")), F.lit("True"),
-    )
     header = spark.range(1).select(F.lit("agg_id,price,qty,first_id,last_id,epoch,is_buyer_maker,best_match").alias("line"))
-    read = archive.ticks(made.select(line.alias("line")).unionAll(header), "S")
+    read = archive.ticks(made.select(archive_line().alias("line")).unionAll(header), "S")
     utc = F.timestamp_add("MICROSECOND", F.unix_micros("ts"), F.expr("timestamp_ntz'1970-01-01'"))
     return read.select("agg_id", utc.alias("ts"), *r6("price"), "qty", *r6("quote_qty"), "is_buyer_maker")
 

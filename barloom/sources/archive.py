@@ -38,7 +38,7 @@ def verified(archives: DataFrame, checksums: DataFrame) -> DataFrame:
     ).drop("told")
 
 
-def _member(names: list[str]) -> str:
+def member(names: list[str]) -> str:
     """The CSV at the archive's root, or else the first one in a folder."""
     csv = sorted((n.count("/"), n) for n in names if n.lower().endswith(".csv"))
     if not csv:
@@ -52,7 +52,7 @@ def lines(archives: DataFrame, batch: int = 20_000) -> DataFrame:
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["file"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(_member(z.namelist())) as raw:
+                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member(z.namelist())) as raw:
                     held: list[str] = []
                     for text in io.TextIOWrapper(raw, "utf-8"):
                         held.append(text.rstrip("\r\n"))

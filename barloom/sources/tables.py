@@ -25,6 +25,21 @@ def write_ticks(ticks: DataFrame, path: str) -> None:
     replace_partitions(ticks.select("*", month), path, ["symbol", "month"], ["ts", "agg_id"])
 
 
+def add_ticks(ticks: DataFrame, path: str, months: list[str] | None = None) -> None:
+    """Adds ticks to the table at path, but for those whose symbol, id and time it has already; of repeated ones, one.
+
+    months (yyyy-MM) that all ticks lie in, if known, keep the other partitions from being read. A run that fails adds
+    nothing, and may be repeated.
+    """
+    key = ["symbol", "agg_id", "ts"]
+    known = ticks.sparkSession.read.parquet(path)
+    if months is not None:
+        known = known.where(F.col("month").isin(months))
+    fresh = ticks.dropDuplicates(key).join(known.select(*key), key, "left_anti").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    made = fresh.repartition("symbol", "month", F.pmod(F.hash("ts"), F.lit(16))).sortWithinPartitions("symbol", "month", "ts", "agg_id")
+    made.write.mode("append").partitionBy("symbol", "month").parquet(path)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     replace_partitions(bars, path, ["symbol", "threshold_bp"], ["bar_close_ts", "seq"])
 
