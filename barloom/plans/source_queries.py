@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,11 +44,8 @@ FROM t GROUP BY ALL
 def a02_published_archives(spark: SparkSession, d: str) -> DataFrame:
     """The tape published by symbol and day with checksums, copied, verified and read back, an archive a task."""
     base, told = _published(spark, ticks(spark, d))
-    days: dict[str, list[str]] = {}
-    for r in told:
-        days.setdefault(r["symbol"], []).append(r["period"])
-    parts = [published.read_archives(spark, base, [s], sorted(x), into=folder(spark, "fetched")) for s, x in days.items()]
-    rows = reduce(DataFrame.unionAll, parts)
+    symbols, days = (sorted({r[k] for r in told}) for k in ("symbol", "period"))
+    rows = published.read_archives(spark, base, symbols, days, missing="skip", into=folder(spark, "fetched"))
     parsed = rows.select("symbol", "period", *[c.alias(n) for n, c in archive.parse_line(F.col("line")).items()]).where("agg_id IS NOT NULL")
     return parsed.groupBy("symbol", "period").agg(
         F.count(F.lit(1)).alias("n_ticks"),

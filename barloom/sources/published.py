@@ -142,13 +142,12 @@ class PublishedSource(DataSource):
     """format("tick_archive"): symbol, period (yyyy-MM-dd or yyyy-MM), file, sha256, line of each line of the archives' CSVs.
 
     Options: base (address), symbols and periods (comma-separated), name (pattern below the base), into (a folder that all
-    executors share; needed where base is a web address), until_gap (true: a symbol's periods end before its first one that isn't
-    published), sums (true: a row for each archive, its checksum file's sum, no line; archives are not read).
+    executors share; needed where base is a web address), missing (what an archive that isn't published
+    does: fail, skip, or stop, which ends the symbol's periods before it), sums (true: a row for each archive, its checksum file's sum, no line; archives are not read).
 
     Each archive is a task. With `into` it is copied there first, under another name until it is whole, and not copied again if it is there
     already. Its bytes are checked against the checksum file before any line is handed on; a wrong or missing sum fails
-    the read. An archive that is not published fails it as well, unless until_gap. The zip is read where it
-    stands, a batch of lines at a time, never whole.
+    the read. The zip is read where it stands, a batch of lines at a time, never whole.
     """
 
     @classmethod
@@ -167,7 +166,9 @@ class PublishedReader(DataSourceReader):
         self.base, self.into = options["base"], options.get("into")
         self.symbols, self.periods = ([x for x in options[k].split(",") if x] for k in ("symbols", "periods"))
         self.pattern = options.get("name", NAME)
-        self.until_gap, self.sums = (options.get(k, "false").lower() == "true" for k in ("until_gap", "sums"))
+        self.missing, self.sums = options.get("missing", "fail"), options.get("sums", "false").lower() == "true"
+        if self.missing not in ("fail", "skip", "stop"):
+            raise ValueError(f"missing is fail, skip or stop, not {self.missing}")
         if self.into is None and Address(self.base).web and not self.sums:
             raise ValueError("archives of a web address need a shared folder `into`")
 
@@ -176,9 +177,10 @@ class PublishedReader(DataSourceReader):
         for symbol in self.symbols:
             for period in self.periods:
                 archive = Archive(symbol, period)
-                if self.until_gap and not base.has(archive.name(self.pattern)):
+                if self.missing == "fail" or base.has(archive.name(self.pattern)):
+                    made.append(archive)
+                elif self.missing == "stop":
                     break
-                made.append(archive)
         # without partitions Spark would ask read() for None
         return made or [Archive("", "")]
 
@@ -321,7 +323,7 @@ def backfill(spark: SparkSession, path: str, log: DataFrame, base: str, symbol:
     months = months_after(spark, start, today)
     if not months:
         return log
-    sums = read_archives(spark, base, [symbol], months, until_gap=True, sums=True)
+    sums = read_archives(spark, base, [symbol], months, missing="stop", sums=True)
     published = sums.select("symbol", F.to_date("period", "yyyy-MM").alias("month"), "sha256")
     # as many rows as months
     wanted = to_load(published, log).orderBy("month").collect()
