@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.boosting import Boosted, BoostParams, fit_boosted
+from barloom.operators.scan import positions
+
 CLASSES = ("p_long", "p_short", "p_neutral")
 
 
@@ -24,8 +28,24 @@ def _inputs(features: Sequence[str]) -> list:
     ]
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], label: str = "label", kind: str = "forest", seed: int = 42) -> PipelineModel:
-    """Three classes with probabilities: a forest, or a multinomial logistic regression."""
+def fit_classifier(
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "label",
+    kind: str = "forest",
+    seed: int = 42,
+    held: DataFrame | None = None,
+    boost: BoostParams = BoostParams(),
+) -> PipelineModel | Boosted:
+    """Three classes with probabilities: a forest, a multinomial logistic regression, or boosted trees.
+
+    Boosted trees end with the round that is best on `held`, rows that are not learned from; the other kinds don't look at them.
+    """
+    if kind == "boosted":
+        rows = train.withColumn("is_valid", F.lit(False))
+        if held is not None:
+            rows = rows.unionByName(held.withColumn("is_valid", F.lit(True)))
+        return fit_boosted(rows, features, label, "is_valid", len(CLASSES), boost)
     if kind == "forest":
         model = RandomForestClassifier(labelCol=label, featuresCol="model_in", numTrees=50, maxDepth=8, minInstancesPerNode=20, seed=seed)
     else:
@@ -33,14 +53,20 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str = "labe
     return Pipeline(stages=[*_inputs(features), model]).fit(train)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    p = vector_to_array("probability")
+def _probabilities(model: PipelineModel | Boosted) -> Column:
+    return F.col("probability") if isinstance(model, Boosted) else vector_to_array("probability")
+
+
+def predict(model: PipelineModel | Boosted, rows: DataFrame) -> DataFrame:
+    p = _probabilities(model)
     made = model.transform(rows)
     return made.select(*rows.columns, *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(CLASSES)])
 
 
-def importance(model: PipelineModel, features: Sequence[str], k: int) -> list[tuple[str, float]]:
+def importance(model: PipelineModel | Boosted, features: Sequence[str], k: int) -> list[tuple[str, float]]:
     """The k features of highest importance."""
+    if isinstance(model, Boosted):
+        return model.importance(k)
     gains = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, gains.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
@@ -84,22 +110,39 @@ def apply_platt(rows: DataFrame, fitted: dict[str, tuple[float, float] | None])
 
 def time_split(rows: DataFrame, ts: str, tie: str, share: float = 0.8, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """rows with is_train: the first int(n * share) of each key in time."""
-    part = Window.partitionBy(*keys)
-    place = F.row_number().over(part.orderBy(ts, tie))
-    return rows.withColumn("is_train", place <= F.floor(F.count(F.lit(1)).over(part) * share))
-
-
-def meta_label(signals: DataFrame, features: Sequence[str], fold: int, first_fold: int = 4, min_rows: int = 30, seed: int = 42) -> DataFrame:
-    """Of one fold's signals: meta_proba, the chance that a signal wins, learned from earlier folds; 1 while there is too little."""
+    placed = positions(rows, keys, [F.col(ts), F.col(tie)], "_place")
+    key = F.struct(*keys, F.lit(0))
+    counts = placed.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    made = placed.join(counts, key.eqNullSafe(F.col("_key")), "left")
+    return made.select(*rows.columns, (F.col("_place") <= F.floor(F.col("_rows") * share)).alias("is_train"))
+
+
+#: Boosted trees of the meta-label: smaller than those of the signals themselves.
+META = BoostParams(rounds=500, patience=30, leaves=15, depth=5, min_rows=20)
+
+
+def meta_label(
+    signals: DataFrame,
+    features: Sequence[str],
+    fold: int,
+    first_fold: int = 4,
+    min_rows: int = 30,
+    seed: int = 42,
+    ts: str = "bar_close_ts",
+    tie: str = "bar_id",
+    boost: BoostParams = META,
+) -> DataFrame:
+    """Of one fold's signals: meta_proba, the chance that a signal wins, learned from earlier folds; 1 while there is too little.
+
+    The last fifth of the earlier signals in time is not learned from: boosting ends with the round that is best on it.
+    """
     train, here = signals.where(F.col("fold_id") < fold), signals.where(F.col("fold_id") == fold)
     classes = train.agg(F.count(F.lit(1)), F.countDistinct("win")).first()
     if fold < first_fold or classes[0] < min_rows or classes[1] < 2:
         return here.withColumn("meta_proba", F.lit(1.0))
-    model = Pipeline(
-        stages=[*_inputs(features), GBTClassifier(labelCol="win", featuresCol="model_in", maxDepth=3, maxIter=30, seed=seed)]
-    ).fit(train)
-    made = model.transform(here)
-    return made.select(*here.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("meta_proba"))
+    placed = time_split(train, ts, tie, 0.8, keys=()).withColumn("is_valid", ~F.col("is_train"))
+    model = fit_boosted(placed, features, "win", "is_valid", 2, replace(boost, seed=seed))
+    return model.transform(here).select(*here.columns, F.get(F.col("probability"), F.lit(1)).alias("meta_proba"))
 
 
 def sequences(rows: DataFrame, features: Sequence[str], length: int = 96, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import BacktestParams, FoldParams
 from barloom.sources.scratch import written
+from barloom.sources.tables import next_version
 
 from . import backtest as X
 from . import models
+from .boosting import Boosted, BoostParams
 from .labels import triple_barrier
 from .validation import split, usable_folds
 
@@ -109,25 +112,63 @@ def verdict(sharpe: Column, needed: float) -> Column:
 
 
 def walk_forward(
-    rows: DataFrame, folds: DataFrame, features: Sequence[str], p: FoldParams = FoldParams(), kind: str = "forest", first_n: int | None = None
+    rows: DataFrame,
+    folds: DataFrame,
+    features: Sequence[str],
+    p: FoldParams = FoldParams(),
+    kind: str = "forest",
+    first_n: int | None = None,
+    boost: BoostParams = BoostParams(),
 ) -> DataFrame:
     """Out-of-time predictions of every usable fold: the rows with fold_id and calibrated p_long, p_short, p_neutral.
 
-    rows: training_rows. A fold's model learns from its purged training part, its calibration from its validation part,
-    and what follows the embargo is predicted. Only the fits are a loop, over a calendar of some folds; predictions stay tables.
+    rows: training_rows. A fold's model learns from its purged training part (boosted ones stop by its validation part), its
+    calibration from its validation part, and what follows the embargo is predicted. Only the fits are a loop, over a calendar of some folds; predictions stay tables.
     """
     placed = written(split(rows, folds, "bar_close_ts", "bar_id", p), "walk-forward")
     usable = [r["fold_id"] for r in usable_folds(placed, p.min_rows).orderBy("fold_id").collect()]
     out = None
     for fold in usable[:first_n]:
         own = placed.where(F.col("fold_id") == fold)
-        model = models.fit_classifier(own.where("role = 'train'"), features, kind=kind)
+        model = models.fit_classifier(own.where("role = 'train'"), features, kind=kind, held=own.where("role = 'val'"), boost=boost)
         platt = models.fit_platt(models.predict(model, own.where("role = 'val'")))
         made = models.apply_platt(models.predict(model, own.where("role = 'oot'")), platt).drop("role")
         out = made if out is None else out.unionByName(made)
     return out if out is not None else placed.limit(0).drop("role").withColumns({c: F.lit(None).cast("double") for c in models.CLASSES})
 
 
+def train_and_save(
+    rows: DataFrame, features: Sequence[str], folder: str, versions: list[str], share: float = 0.8, boost: BoostParams = BoostParams()
+) -> dict:
+    """Fits boosted trees on the first `share` of the labelled rows in time, calibrates on the rest, and saves both as the next version.
+
+    Returns the version, the rows on both sides, the rounds kept, the rest's log-loss, and the ten most important features. A failed step
+    leaves no version that load_trained() would take: the calibration, which is written last, makes it one.
+    """
+    placed = written(models.time_split(rows.where(F.col("label") != -1), "bar_close_ts", "bar_id", share, keys=()), "train-and-save")
+    train, held = placed.where("is_train"), placed.where("NOT is_train")
+    model = models.fit_classifier(train, features, kind="boosted", held=held, boost=boost)
+    platt = models.fit_platt(models.predict(model, held))
+    name, spark = next_version(versions), rows.sparkSession
+    model.save(spark, f"{folder}/{name}/model")
+    spark.createDataFrame([(json.dumps(platt),)], "platt string").coalesce(1).write.text(f"{folder}/{name}/calibration")
+    return {
+        "version": name,
+        "n_train": train.count(),
+        "n_held": held.count(),
+        "rounds": len(model.trees),
+        "loss": model.losses[len(model.trees)] if model.losses else None,
+        "top": model.importance(10),
+    }
+
+
+def load_trained(spark: SparkSession, folder: str, name: str) -> Callable[[DataFrame], DataFrame]:
+    """What train_and_save() saved, as a function from rows to rows with calibrated probabilities."""
+    platt = {c: ab and tuple(ab) for c, ab in json.loads(spark.read.text(f"{folder}/{name}/calibration").first()[0]).items()}
+    model = Boosted.load(spark, f"{folder}/{name}/model")
+    return lambda rows: models.apply_platt(models.predict(model, rows), platt)
+
+
 def backtested(predictions: DataFrame, p: BacktestParams = BacktestParams(), keys: Sequence[str] = ("symbol", "fold_id")) -> DataFrame:
     """Trades of walk_forward's predictions, each fold for itself."""
     made = predictions.withColumn("direction", X.signal(F.lit(p.threshold))).where("direction <> 0").withColumnRenamed("bar_close_ts", "entry_ts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,4 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in a folder() and read again: cuts lineage, and survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[made] = path
+    return made
+
+
+#: Where tables that written() made stand.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that written() made, once nothing that is still to be computed reads it."""
+    spark, path = table.sparkSession, _PATHS.pop(table)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -81,12 +81,16 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 def save_model(model: PipelineModel, folder: str, versions: list[str]) -> str:
     """Saves a fitted pipeline as the version after those that there are, and returns its name."""
-    last = latest_version(versions)
-    name = f"v{int(last[len(last.rstrip('0123456789')) :] or 0) + 1 if last else 1}"
+    name = next_version(versions)
     model.write().save(f"{folder}/{name}")
     return name
 
 
+def next_version(versions: list[str]) -> str:
+    last = latest_version(versions)
+    return f"v{int(last[len(last.rstrip('0123456789')) :] or 0) + 1 if last else 1}"
+
+
 def load_model(folder: str, versions: list[str], name: str | None = None) -> PipelineModel:
     """A saved pipeline: the latest version, or the one named."""
     return PipelineModel.load(f"{folder}/{name or latest_version(versions)}")
