@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,13 +52,13 @@ class CusumProcessor(StatefulProcessor):
         pass
 
 
-def stream_bars(ticks: DataFrame, threshold: float, max_hours: float = 168.0) -> DataFrame:
+def stream_bars(ticks: DataFrame, threshold: float, max_hours: float = 168.0, log_price: Column | None = None) -> DataFrame:
     """Bars of a stream of ticks (symbol, agg_id, ts, price, qty), as cusum_bars makes them of a table."""
     tape = ticks.select(
         "symbol",
         F.unix_micros("ts").alias("t"),
         "agg_id",
-        F.ln("price").alias("lp"),
+        (F.ln("price") if log_price is None else log_price.cast("double")).alias("lp"),
         F.col("price").cast("double").alias("price"),
         F.col("qty").cast("double").alias("qty"),
     )

@@ -134,25 +134,8 @@ class PositionProcessor(StatefulProcessor):
         out = []
         frame = pd.concat(list(rows)).sort_values(["t", "bar_id"], kind="stable")
         for r in frame.itertuples(index=False):
-            still = []
-            for p in open_:
-                p[4] += 1
-                won, lost = p[2] * (1 + p[3] * self.tp), p[2] * (1 - p[3] * self.sl)
-                hit_won, hit_lost = (r.high >= won, r.low <= lost) if p[3] == 1 else (r.low <= won, r.high >= lost)
-                price, reason = (lost, "sl") if hit_lost else (won, "tp") if hit_won else (r.close, "timeout") if p[4] >= self.vertical else (None, None)
-                if reason is None:
-                    still.append(p)
-                    continue
-                gross = p[3] * (price / p[2] - 1) * 10_000.0
-                out.append((*key, p[0], "exit", p[3], r.t, price, reason, p[4], gross, gross - self.cost_bps))
-            taken = len(open_)
-            open_ = still
-            if r.decision in ("long", "short"):
-                side = 1 if r.decision == "long" else -1
-                fits = taken < self.max_concurrent
-                out.append((*key, r.bar_id, "entry" if fits else "passed", side, r.t, r.close, r.reason, 0, None, None))
-                if fits:
-                    open_.append([r.bar_id, r.t, r.close, side, 0])
+            done, open_ = self.step(open_, r)
+            out += [(*key, *event) for event in done]
         if open_:
             self.open.put([tuple(p) for p in open_])
         else:
@@ -162,6 +145,31 @@ class PositionProcessor(StatefulProcessor):
             made["ts"] = pd.to_datetime(made["ts"], unit="us", utc=True)
             yield made
 
+    def step(self, open_: list[list], r, halted: Callable[[float], bool] = lambda own: False) -> tuple[list[tuple], list[list]]:
+        """What one bar does: its events (bar_id to pnl_bps_net), and the positions that are open after it.
+
+        halted is asked before a signal is followed, with the net PnL of the bar's own exits.
+        """
+        done, still = [], []
+        for p in open_:
+            p[4] += 1
+            won, lost = p[2] * (1 + p[3] * self.tp), p[2] * (1 - p[3] * self.sl)
+            hit_won, hit_lost = (r.high >= won, r.low <= lost) if p[3] == 1 else (r.low <= won, r.high >= lost)
+            price, reason = (lost, "sl") if hit_lost else (won, "tp") if hit_won else (r.close, "timeout") if p[4] >= self.vertical else (None, None)
+            if reason is None:
+                still.append(p)
+                continue
+            gross = p[3] * (price / p[2] - 1) * 10_000.0
+            done.append((p[0], "exit", p[3], r.t, price, reason, p[4], gross, gross - self.cost_bps))
+        if r.decision in ("long", "short"):
+            side = 1 if r.decision == "long" else -1
+            # a slot that this bar frees is not free for its own signal
+            event = "halted" if halted(sum(e[-1] for e in done)) else "entry" if len(open_) < self.max_concurrent else "passed"
+            done.append((r.bar_id, event, side, r.t, r.close, r.reason, 0, None, None))
+            if event == "entry":
+                still.append([r.bar_id, r.t, r.close, side, 0])
+        return done, still
+
     def close(self) -> None:
         pass
 
