@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.streams import runs, streamed
+from barloom.operators.scan import running
 from barloom.sources.scratch import written
 
 
+#: Rows of an equity curve that one task runs through.
+_CURVE_ROWS = 100_000
+
+
 def signal(threshold: Column) -> Column:
     """Backtest rule: 1 if p_long is above the threshold, else -1 if p_short is, else 0."""
     return F.when(F.col("p_long") > threshold, 1).when(F.col("p_short") > threshold, -1).otherwise(0)
@@ -85,21 +90,18 @@ def with_pnl(trades: DataFrame, cost_bps: Column) -> DataFrame:
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0) -> DataFrame:
     """keys, ts, n, equity: the start at the entry of the trade that exits first, then compounded after each exit."""
-    w = Window.partitionBy(*keys).orderBy("exit_ts", "bar_id")
-    grown = trades.select(
-        *keys,
-        F.col("exit_ts").alias("ts"),
-        F.row_number().over(w).alias("n"),
-        (start * F.exp(F.sum(F.log1p(F.col("pnl_bps_net") / 10_000.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("equity"),
-    )
+    order = [F.col("exit_ts"), F.col("bar_id")]
+    sums = {"n": ("sum", F.lit(1)), "growth": ("sum", F.log1p(F.col("pnl_bps_net") / 10_000.0))}
+    grown = running(trades.select(*keys, "exit_ts", "bar_id", "pnl_bps_net"), list(keys), order, sums, bucket=F.to_date("exit_ts"))
+    grown = grown.select(*keys, F.col("exit_ts").alias("ts"), F.col("n").cast("int").alias("n"), (start * F.exp("growth")).alias("equity"))
     first = trades.groupBy(*keys).agg(F.min_by("entry_ts", F.struct("exit_ts", "bar_id")).alias("ts"))
     return grown.unionByName(first.select(*keys, "ts", F.lit(0).alias("n"), F.lit(start).alias("equity")))
 
 
 def drawdown(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.max("equity").over(w)
-    return curve.withColumn("drawdown", (F.col("equity") - top) / top)
+    """curve with `drawdown`: how far the equity is below its highest value so far."""
+    made = running(curve, list(keys), [F.col("n")], {"drawdown": ("max", F.col("equity"))}, bucket=F.floor(F.col("n") / _CURVE_ROWS))
+    return made.withColumn("drawdown", (F.col("equity") - F.col("drawdown")) / F.col("drawdown"))
 
 
 def daily_returns(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,8 +126,8 @@ def metrics(trades: DataFrame, keys: Sequence[str], n_bars: DataFrame | None = N
     keys = list(keys)
     # read three times below: trades are few, what they are made of is not
     trades = written(trades, "trades")
-    curve = equity_curve(trades, keys, start)
-    falls = drawdown(curve, keys).groupBy(*keys).agg(F.min("drawdown").alias("max_dd"))
+    curve = written(drawdown(equity_curve(trades, keys, start), keys), "curve")
+    falls = curve.groupBy(*keys).agg(F.min("drawdown").alias("max_dd"))
     r, neg = F.col("ret"), F.when(F.col("ret") < 0, F.col("ret"))
     year = math.sqrt(252)
     per_day = daily_returns(curve, keys).groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.streams import runs
+from barloom.operators.scan import positions
 from barloom.sources.scratch import written
 
 #: What a bar carries, in order.
@@ -252,10 +253,15 @@ def _stitched(tape: DataFrame, walked: DataFrame, walk) -> DataFrame:
     return fixed[0].withColumn("seq", F.col("seq") - F.lit(2**40)).unionByName(rest)
 
 
-def count_bars(ticks: DataFrame, size: int) -> DataFrame:
-    """Bars of `size` consecutive ticks of a symbol: bar_id, OHLC, volume; a short last one is left out."""
-    order = Window.partitionBy("symbol").orderBy("ts", "agg_id")
-    numbered = ticks.withColumn("n", F.row_number().over(order))
+def count_bars(ticks: DataFrame, size: int, number: Column | None = None) -> DataFrame:
+    """Bars of `size` consecutive ticks of a symbol: bar_id, OHLC, volume; a short last one is left out.
+
+    number: a column with the ticks' places from 1 in their symbol by (ts, agg_id), where they are known already.
+    """
+    if number is None:
+        numbered = positions(ticks, ["symbol"], [F.col("ts"), F.col("agg_id")], "n")
+    else:
+        numbered = ticks.withColumn("n", number)
     first, last = F.struct("n", "price"), F.struct("n", "price")
     return (
         numbered.groupBy("symbol", F.floor((F.col("n") - 1) / size).alias("bar_id"))

@@ -63,22 +63,39 @@ _SCANS = {"sum": (F.sum, _add), "max": (F.max, F.greatest), "min": (F.min, F.lea
 
 
 def running(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], outs: dict[str, tuple[str, Column]], peers: bool = False
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    outs: dict[str, tuple[str, Column]],
+    peers: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """rows with running values up to each row within its key: outs gives each one's name, kind (sum, max, min) and column.
 
+    bucket: a column that ascends with the order, such as the hour of a time, whose values are the ranges; then nothing is sampled or
+    written, a bucket's rows of a key are one task, and a key's buckets are scanned by one. Without it ranges are sampled, and as large
+    as each other.
+
     peers: rows that are equal in the order share the value of the last of them, as a window's default frame has it. Nulls
     are passed over; a running value is null while there are only nulls. Sums of doubles may differ from a window's in
     their last digits, since ranges are summed apart. Keys and no rows are treated as by positions().
     """
     held = {f"_value{i}": column for i, (_, column) in enumerate(outs.values())}
-    table = _ranged(rows.withColumns(held), keys, order)
     kinds = [_SCANS[kind] for kind, _ in outs.values()]
+    if bucket is None:
+        table, last = _ranged(rows.withColumns(held), keys, order), [F.col("_scan_id")]
+    else:
+        table, last = rows.withColumns(held | {"_scan_part": bucket}), list(order)
+    # null keys are keys: structs are equal where their nulls are
+    slot = F.struct(*keys, "_scan_part").alias("_slot")
     totals = table.groupBy(*keys, "_scan_part").agg(*[total(v).alias(f"_total{i}") for i, (v, (total, _)) in enumerate(zip(held, kinds, strict=True))])
-    before = totals.withColumns({f"_before{i}": total(f"_total{i}").over(_earlier(keys)) for i, (total, _) in enumerate(kinds)})
-    local = Window.partitionBy(*keys, "_scan_part")
-    local = local.orderBy(*order) if peers else local.orderBy("_scan_id").rowsBetween(Window.unboundedPreceding, 0)
-    within = table.withColumns({f"_own{i}": total(v).over(local) for i, (v, (total, _)) in enumerate(zip(held, kinds, strict=True))})
-    made = _joined(within, before, keys)
+    before = totals.select(slot, *[total(f"_total{i}").over(_earlier(keys)).alias(f"_before{i}") for i, (total, _) in enumerate(kinds)])
+    local = Window.partitionBy("_slot")
+    local = local.orderBy(*order) if peers else local.orderBy(*last).rowsBetween(Window.unboundedPreceding, 0)
+    within = table.withColumn("_slot", slot).withColumns(
+        {f"_own{i}": total(v).over(local) for i, (v, (total, _)) in enumerate(zip(held, kinds, strict=True))}
+    )
+    # both sides are dealt by their slot already: the rows are not shuffled again
+    made = within.join(before, "_slot", "left")
     kept = [c for c in rows.columns if c not in outs]
     return made.select(*kept, *[both(F.col(f"_before{i}"), F.col(f"_own{i}")).alias(n) for i, (n, (_, both)) in enumerate(zip(outs, kinds, strict=True))])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.scan import running
+
 
 def session_overview(sessions: DataFrame, trades: DataFrame) -> DataFrame:
     """Every session with counts and results of its trades; 0 where it has none."""
@@ -39,7 +41,7 @@ def where_all(*conditions: tuple[str, object | None]) -> Column:
 
 def running_pnl(trades: DataFrame, *keys: str) -> DataFrame:
     """Sum of PnL up to each exit; exits at the same time share it."""
-    return trades.withColumn("cum_pnl_bps", F.sum("pnl_bps").over(Window.partitionBy(*keys).orderBy("exit_ts")))
+    return running(trades, keys, [F.col("exit_ts")], {"cum_pnl_bps": ("sum", F.col("pnl_bps"))}, peers=True, bucket=F.to_date("exit_ts"))
 
 
 def newest_first(rows: DataFrame, ts: str, tie: str, n: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import count_bars
+from barloom.operators.scan import running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,21 +35,28 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     """A tape of four symbols from the events; lp is an exact log price in units of 1/500000."""
-    tape = Window.partitionBy(F.col("user_id") % 4).orderBy("ts", "event_id")
+    return _numbered(spark, d).drop("n")
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """ticks(), with each one's place in its symbol."""
     step = F.round(F.col("value") * 100).cast("bigint") - 5000
-    return events(spark, d).select(
+    tape = events(spark, d).select(
         F.col("event_id").alias("agg_id"),
         "ts",
         F.concat(F.lit("S"), (F.col("user_id") % 4).cast("string")).alias("symbol"),
-        F.sum(step).over(tape.rowsBetween(Window.unboundedPreceding, 0)).alias("lp"),
+        step.alias("lp"),
         ((F.get_json_object("props", "$.k").cast("int") + 1) / F.lit(10.0)).cast("double").alias("qty"),
         F.col("event_type").isin("view", "error").alias("is_buyer_maker"),
-    ).withColumn("price", 100 * F.exp(F.col("lp") / 500000.0))
+    )
+    sums = {"lp": ("sum", F.col("lp")), "n": ("sum", F.lit(1))}
+    made = running(tape, ["symbol"], [F.col("ts"), F.col("agg_id")], sums, bucket=F.date_trunc("hour", "ts"))
+    return made.select("agg_id", "ts", "symbol", "lp", "qty", "is_buyer_maker", (100 * F.exp(F.col("lp") / 500000.0)).alias("price"), "n")
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of five ticks."""
-    return count_bars(ticks(spark, d), 5)
+    return count_bars(_numbered(spark, d), 5, F.col("n"))
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:

@@ -31,22 +31,24 @@ def test_positions(spark, n, keys):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("bucket", [None, "floor(t / 10)", "cast(null as int)"])
 @pytest.mark.parametrize("n", [0, 1, 700])
-def test_running(spark, n):
+def test_running(spark, n, bucket):
     rows = made(spark, n)
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("v")
     want = rows.select("*", F.sum(v).over(w).alias("s"), F.max(v).over(w).alias("hi"), F.min(v).over(w).alias("lo"))
-    got = running(rows, ["k"], [F.col("t"), F.col("id")], {"s": ("sum", v), "hi": ("max", v), "lo": ("min", v)})
+    got = running(rows, ["k"], [F.col("t"), F.col("id")], {"s": ("sum", v), "hi": ("max", v), "lo": ("min", v)}, bucket=bucket and F.expr(bucket))
     assert got.columns == want.columns
     # multiples of a quarter: sums are exact
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def test_peers_share_a_value(spark):
+@pytest.mark.parametrize("bucket", [None, "floor(t / 3)"])
+def test_peers_share_a_value(spark, bucket):
     rows = made(spark, 500).withColumn("t", F.col("t") % 7)
     want = rows.withColumn("v", F.sum("v").over(Window.partitionBy("k").orderBy("t")))
-    got = running(rows, ["k"], [F.col("t")], {"v": ("sum", F.col("v"))}, peers=True)
+    got = running(rows, ["k"], [F.col("t")], {"v": ("sum", F.col("v"))}, peers=True, bucket=bucket and F.expr(bucket))
     key = lambda r: (str(r.k), r.id, r.v)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
@@ -55,5 +57,7 @@ def test_one_key_is_many_ranges(spark):
     rows = spark.range(20_000).select(F.lit("a").alias("k"), F.col("id").alias("t"))
     got = positions(rows, ["k"], [F.col("t")])
     assert got.where("n != t + 1").count() == 0 and got.count() == 20_000
+    by_bucket = running(rows, ["k"], [F.col("t")], {"n": ("sum", F.lit(1))}, bucket=F.floor(F.col("t") / 500))
+    assert by_bucket.where("n != t + 1").count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "row_number" not in plan and "Window [" not in plan.split("== Physical Plan ==")[1].split("Scan parquet")[0]
