@@ -301,11 +301,39 @@ def seconds(bar_open: str = "bar_open_ts", bar_close: str = "bar_close_ts") -> C
 
 
 def index_percentile(values: Column, q: float) -> Column:
-    """sorted[int(n * q)]: an element of the group, not interpolated."""
+    """sorted[int(n * q)] of a small group, as an aggregate: it holds the group in one row; see index_percentiles."""
     return F.element_at(F.array_sort(F.collect_list(values)), (F.floor(F.count(values) * q) + 1).cast("int"))
 
 
-def fingerprint(text: Column, *order: Column) -> Column:
-    """md5 of a group's texts in order."""
-    rows = F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], text.alias("text"))))
-    return F.md5(F.array_join(F.transform(rows, lambda r: r["text"]), "|"))
+def index_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key, for each name in `shares`, sorted[int(n * share)]: an element of the group, not interpolated.
+
+    Values are numbered by a scan over ranges, so a group of any size is many tasks, and nothing of it is collected. Nulls are left out; a key
+    without values has no row. A share of 1 and more has none to name: null.
+    """
+    placed = positions(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)], "_place")
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(F.struct(*keys).alias("_key"), "_rows")
+    sized = placed.join(counts, F.struct(*keys).eqNullSafe(F.col("_key")))
+    wanted = {n: F.col("_place") == F.floor(F.col("_rows") * q) + 1 for n, q in shares.items()}
+    return sized.groupBy(*keys).agg(*[F.max(F.when(at, F.col(value))).alias(n) for n, at in wanted.items()])
+
+
+def ordered_digest(rows: DataFrame, keys: list[str], text: Column, order: list[Column], out: str = "print", chunk: int = 256) -> DataFrame:
+    """Per key an md5 of its rows' texts in order: of chunks of so many rows (joined by |), then of as many of these, until one is left.
+
+    So it is the md5 of the joined texts of a key of at most `chunk` rows, and no task holds more than a chunk of a group. Null
+    texts are left out of what is joined. Rows that are equal in the order make the digest undefined: give an order that is total.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = rows.select(*keys, text.alias("_text"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    level, first = positions(rows, keys, [F.col(n) for n in names], "_n").select(*keys, "_text", "_n"), True
+    while True:
+        part = F.sort_array(F.collect_list(F.struct("_n", "_text")))
+        digest = F.md5(F.array_join(F.transform(part, lambda r: r["_text"]), "|"))
+        if not first:
+            # a key of one digest is done, whatever the others are
+            digest = F.when((F.count(F.lit(1)) == 1) & (F.max("_n") == 1), F.max("_text")).otherwise(digest)
+        level = level.groupBy(*keys, F.floor((F.col("_n") - 1) / chunk).alias("_chunk")).agg(digest.alias("_text"))
+        level, first = written(level.select(*keys, "_text", (F.col("_chunk") + 1).alias("_n")), "digests"), False
+        if level.where("_n > 1").isEmpty():
+            return level.select(*keys, F.col("_text").alias(out))

@@ -10,6 +10,7 @@ from barloom.operators import bars as B
 from barloom.operators.asof import assign_to_bars
 from barloom.operators.orderflow import max_trade_share, order_flow, taker_ratio
 from barloom.sources import archive
+from barloom.sources.scratch import written
 
 from .base import BARS, CUSUM, THRESHOLD, TICKS, bars, events, query, r6, ticks
 
@@ -169,20 +170,20 @@ SELECT symbol, v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(l
 """)
 def e20_duration_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Durations by index into the sorted list, not interpolated."""
-    made = _cusum(spark, d).withColumn("sec", B.seconds())
-    sec = F.col("sec")
-    return made.groupBy("symbol").agg(
-        B.index_percentile(sec, 0.5).alias("p50"), B.index_percentile(sec, 0.95).alias("p95"), F.max(sec).alias("longest")
-    )
+    made = written(_cusum(spark, d).select("symbol", B.seconds().alias("sec")), "durations")
+    longest = made.groupBy("symbol").agg(F.max("sec").alias("longest"))
+    return B.index_percentiles(made, ["symbol"], "sec", {"p50": 0.5, "p95": 0.95}).join(longest, "symbol")
 
 
 @query(f"""
-WITH RECURSIVE {CUSUM}
-SELECT symbol, md5(string_agg(seq || ':' || CAST(close AS BIGINT) || ':' || n_trades, '|' ORDER BY seq)) AS print FROM cbars GROUP BY symbol
+WITH RECURSIVE {CUSUM}, placed AS (SELECT symbol, seq || ':' || CAST(close AS BIGINT) || ':' || n_trades AS text, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n FROM cbars),
+chunks AS (SELECT symbol, (n - 1) // 256 AS chunk, md5(string_agg(text, '|' ORDER BY n)) AS text FROM placed GROUP BY ALL),
+larger AS (SELECT symbol, chunk // 256 AS chunk, CASE WHEN count(*) = 1 AND max(chunk) = 0 THEN any_value(text) ELSE md5(string_agg(text, '|' ORDER BY chunk)) END AS text FROM chunks GROUP BY symbol, chunk // 256)
+SELECT symbol, text AS print FROM larger
 """)
 def e23_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(":", F.col("seq").cast("string"), F.col("close").cast("bigint").cast("string"), F.col("n_trades").cast("string"))
-    return _cusum(spark, d).groupBy("symbol").agg(B.fingerprint(text, F.col("seq")).alias("print"))
+    return B.ordered_digest(_cusum(spark, d), ["symbol"], text, [F.col("seq")])
 
 
 @query(f"""

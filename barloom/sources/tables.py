@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str], sort: list[str] | None = None) -> None:
@@ -79,6 +81,46 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
 
 
+def stream_audit(events: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
+    """Appends a stream of audit events (ts, session_id, event, payload) as JSON lines, in a folder per event day.
+
+    The sink's own log names the files that count, so a batch that is repeated after a restart adds no line twice: read
+    the folder with spark.read.json. Events without a time are in the folder of none.
+    """
+    writer = events.withColumn("day", F.to_date("ts")).writeStream.format("json").partitionBy("day")
+    writer = writer.option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def read_report(spark: SparkSession, path: str, exploded: str | None = None) -> DataFrame:
+    """A JSON report's rows; with `exploded`, a row for each element of that array, whose fields (or itself) are columns."""
+    rows = spark.read.option("multiLine", "true").json(path)
+    if exploded is None:
+        return rows
+    kind = rows.schema[exploded].dataType.elementType
+    kept = [c for c in rows.columns if c != exploded and not (isinstance(kind, StructType) and c in kind.names)]
+    each = rows.select(*kept, F.explode_outer(exploded).alias("_one"))
+    return each.select(*kept, *(["_one.*"] if isinstance(kind, StructType) else [F.col("_one").alias(exploded)]))
+
+
+def read_ticks(
+    spark: SparkSession, path: str, symbol: str, start: str | None = None, end: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """A symbol's ticks in order of (ts, agg_id), from `start` on and before `end`, the first `limit` of them; each bound is optional.
+
+    Bounds are times (`2024-01-05 10:00`) and prune the months that lie outside them.
+    """
+    rows = spark.read.parquet(path).where(F.col("symbol") == symbol)
+    if start is not None:
+        at = F.lit(start).cast("timestamp")
+        rows = rows.where((F.col("ts") >= at) & (F.col("month") >= F.date_format(at, "yyyy-MM")))
+    if end is not None:
+        at = F.lit(end).cast("timestamp")
+        rows = rows.where((F.col("ts") < at) & (F.col("month") <= F.date_format(at, "yyyy-MM")))
+    rows = rows.orderBy("ts", "agg_id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def save_model(model: PipelineModel, folder: str, versions: list[str]) -> str:
     """Saves a fitted pipeline as the version after those that there are, and returns its name."""
     name = next_version(versions)

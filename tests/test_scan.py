@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.operators.bars import index_percentiles, ordered_digest
 from barloom.operators.scan import positions, running
 
 
@@ -61,3 +63,31 @@ def test_one_key_is_many_ranges(spark):
     assert by_bucket.where("n != t + 1").count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "row_number" not in plan and "Window [" not in plan.split("== Physical Plan ==")[1].split("Scan parquet")[0]
+
+
+def test_order_statistics_of_groups(spark):
+    rows = made(spark, 400).withColumn("v", F.col("v") + F.col("t"))
+    got = {r.k: (r.p50, r.p95, r.top) for r in index_percentiles(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95, "top": 1.0}).collect()}
+    lists = {}
+    for r in rows.collect():
+        if r.v is not None:
+            lists.setdefault(r.k, []).append(r.v)
+    want = {k: (sorted(v)[int(len(v) * 0.5)], sorted(v)[int(len(v) * 0.95)], None) for k, v in lists.items()}
+    assert got == want and None in got
+
+
+def test_digests_of_chunks(spark):
+    rows = spark.createDataFrame([(k, i, f"{k}{i}") for k, n in (("a", 1), ("b", 3), ("c", 4), ("d", 40)) for i in range(n)], "k string, i long, s string")
+    got = {r.k: r.print for r in ordered_digest(rows, ["k"], F.col("s"), [F.col("i")], chunk=3).collect()}
+
+    def md5(parts):
+        return hashlib.md5("|".join(parts).encode(), usedforsecurity=False).hexdigest()
+
+    def digest(parts):
+        parts = [md5(parts[i : i + 3]) for i in range(0, len(parts), 3)]
+        while len(parts) > 1:
+            parts = [md5(parts[i : i + 3]) for i in range(0, len(parts), 3)]
+        return parts[0]
+
+    assert got == {k: digest([f"{k}{i}" for i in range(n)]) for k, n in (("a", 1), ("b", 3), ("c", 4), ("d", 40))}
+    assert ordered_digest(rows.where("false"), ["k"], F.col("s"), [F.col("i")]).collect() == []

@@ -185,3 +185,46 @@ def test_bar_reader_and_versions(spark, tmp_path):
     days = spark.createDataFrame([("2024-01-01", "2024-01-05"), ("2024-01-01", "2024-03-01"), ("2024-01-04", "2024-01-05")], "a string, b string")
     got = [len(r[0]) for r in days.select(T.days_to_catch_up(F.col("a").cast("date"), F.col("b").cast("date"))).collect()]
     assert got == [3, 14, 0]
+
+
+def test_audit_stream_over_a_restart(spark, tmp_path):
+    kind, path = "ts timestamp, session_id long, event string, payload string", str(tmp_path / "audit")
+
+    def put(name, hours):
+        rows = [(datetime(2024, 1, 1) + timedelta(hours=h), 1, f"e{h}", "{}") for h in hours]
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"d={name}"))
+
+    def run():
+        events = spark.readStream.schema(kind + ", d int").parquet(str(tmp_path / "in")).drop("d")
+        tables.stream_audit(events, path, str(tmp_path / "k"), once=True).awaitTermination(120)
+
+    put(0, range(20))
+    run()
+    # the batch is done, but the checkpoint doesn't say so: it is run again
+    commits = tmp_path / "k" / "commits"
+    for f in commits.iterdir():
+        f.unlink()
+    put(1, range(20, 30))
+    run()
+    run()
+    got = spark.read.json(path)
+    assert sorted(int(r.event[1:]) for r in got.collect()) == list(range(30))
+    assert {str(r.day) for r in got.select("day").distinct().collect()} == {"2024-01-01", "2024-01-02"}
+
+
+def test_reports_and_ticks_are_read(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"name": "run", "n": 2, "folds": [{"fold_id": 1, "sharpe": 0.5}, {"fold_id": 2, "sharpe": null}], "tags": ["a", "b"]}')
+    made = tables.read_report(spark, str(tmp_path / "r.json"), "folds")
+    assert sorted((r["name"], r["fold_id"], r["sharpe"]) for r in made.collect()) == [("run", 1, 0.5), ("run", 2, None)]
+    assert [r["tags"] for r in tables.read_report(spark, str(tmp_path / "r.json"), "tags").select("tags").collect()] == ["a", "b"]
+    assert tables.read_report(spark, str(tmp_path / "r.json")).count() == 1
+    path = str(tmp_path / "ticks")
+    rows = [("A", i, datetime(2024, 1, 1) + timedelta(days=i), 1.0) for i in range(90)] + [("B", 0, datetime(2024, 1, 1), 1.0)]
+    tables.write_ticks(spark.createDataFrame(rows, "symbol string, agg_id long, ts timestamp, price double"), path)
+
+    def ids(*a, **k):
+        return [r.agg_id for r in tables.read_ticks(spark, path, "A", *a, **k).collect()]
+
+    assert ids() == list(range(90)) and ids("2024-02-01", "2024-02-03") == [31, 32] and ids("2024-03-29") == [88, 89] and ids(limit=3) == [0, 1, 2]
+    bounded = tables.read_ticks(spark, path, "A", "2024-02-01", "2024-02-03")
+    assert len(bounded.inputFiles()) == 1 or "PartitionFilters" in bounded._jdf.queryExecution().toString()
