@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,42 @@ def with_recursive(bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFr
     return streamed(bars, keys, order).mapInArrow(walk, kinds)
 
 
+def with_decayed(rows: DataFrame, value: str, outs: dict[str, tuple[int, int]], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """rows with exponential means of `value`: outs gives each one's span, and how many values it needs before it is not null.
+
+    Weights decay through missing values, at which a mean stays as it is. A key's rows stream through one task, of which only the keys,
+    the order and the value pass through Python.
+    """
+    keys = list(keys)
+    order = ["bar_close_ts", "bar_id"]
+    own = rows.select(*keys, *order, F.col(value).cast("double").alias("_x"))
+
+    def walk(batches):
+        key, state = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("_x").to_numpy(zero_copy_only=False)
+            parts = []
+            for this, begin, end in runs(batch, keys):
+                if this != key:
+                    key, state = this, [[Smoothed(2 / (span + 1)), 0, least] for span, least in outs.values()]
+                x = values[begin:end]
+                made = []
+                for s in state:
+                    seen = s[1] + np.cumsum(~np.isnan(x))
+                    made.append(np.where(seen >= s[2], s[0].feed(x), np.nan))
+                    s[1] = int(seen[-1])
+                parts.append(made)
+            columns = [pa.array(np.concatenate(x), from_pandas=True) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, *order]), *columns], names=[*keys, *order, *outs])
+
+    fields = [*own.select(*keys, *order).schema.fields, *[StructField(c, DoubleType()) for c in outs]]
+    made = streamed(own, keys, [F.col(c).asc_nulls_last() for c in order]).mapInArrow(walk, StructType(fields))
+    same = [rows[c].eqNullSafe(made[c]) for c in [*keys, *order]]
+    return rows.join(made, reduce(lambda a, b: a & b, same), "left").select(*[rows[c] for c in rows.columns], *[made[c] for c in outs])
+
+
 def decayed_mean(values: pd.Series, span: int, least: int) -> pd.Series:
     """Exponential mean whose weights decay through missing values, null until there are `least` values."""
     return values.ewm(span=span, adjust=False, min_periods=least).mean()
