@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 PARTS, OVERTAKEN = 4, 20
 
 
-def arrivals(spark: SparkSession, d: str) -> tuple[str, str]:
-    """A folder with the tape in files by arrival, in which ticks overtake each other, and its schema. price is the log price."""
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The tape as a stream of PARTS triggers in order of arrival, in which ticks overtake each other. price is the log price."""
     utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts")))
     tape = ticks(spark, d).select("symbol", "agg_id", utc.alias("ts"), F.col("lp").cast("double").alias("price"), "qty")
     tape = tape.withColumn("arrival", F.unix_micros("ts") + F.pmod(F.xxhash64("agg_id"), F.lit(OVERTAKEN * 60_000_000)))
@@ -33,7 +34,8 @@ def arrivals(spark: SparkSession, d: str) -> tuple[str, str]:
         part = rest if low is None else rest.where(F.col("arrival") > low)
         part = part if high is None else part.where(F.col("arrival") <= high)
         part.drop("arrival").write.mode("append").parquet(path)
-    return path, tape.drop("arrival").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    files = math.ceil(len(spark.read.parquet(path).inputFiles()) / PARTS)
+    return spark.readStream.schema(tape.drop("arrival").schema).option("maxFilesPerTrigger", max(1, files)).parquet(path)
 
 
 def finished(spark: SparkSession, source: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -59,10 +61,8 @@ FROM cbars JOIN told USING (symbol) WHERE bar_close_ts < passed
 """)
 def s07_reordered_bars(spark: SparkSession, d: str) -> DataFrame:
     """CUSUM bars of a stream whose ticks overtake each other, put in order by waiting for half an hour: those of the tape in order."""
-    path, kind = arrivals(spark, d)
-    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 8).parquet(path)
     made = finished(
-        spark, source, lambda t: stream_bars(live.reordered(t, "30 minutes").where("NOT late").drop("late"), THRESHOLD, 168.0, F.col("price"))
+        spark, arrivals(spark, d), lambda t: stream_bars(live.reordered(t, "30 minutes").where("NOT late").drop("late"), THRESHOLD, 168.0, F.col("price"))
     )
     zone = [F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr("timestamp_ntz'1970-01-01'")).alias(c) for c in ("bar_open_ts", "bar_close_ts")]
     names = ["open", "high", "low", "close"]
@@ -76,9 +76,7 @@ FROM t JOIN (SELECT symbol, max(ts) - INTERVAL 30 MINUTE AS passed FROM t GROUP
 """)
 def s07_reordered_ticks(spark: SparkSession, d: str) -> DataFrame:
     """What the reorder buffer has handed on, and how much of it late, by symbol."""
-    path, kind = arrivals(spark, d)
-    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 8).parquet(path)
-    made = finished(spark, source, lambda t: live.reordered(t, "30 minutes"))
+    made = finished(spark, arrivals(spark, d), lambda t: live.reordered(t, "30 minutes"))
     own = ~F.col("late")
     return made.groupBy("symbol").agg(
         F.count_if(own).alias("n_ticks"),
