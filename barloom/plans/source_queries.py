@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from barloom.functions.ticks import epoch_to_timestamp
 from barloom.sources import archive, published
 from barloom.sources.pull import FIELDS, PullSource
-from barloom.sources.scratch import folder
+from barloom.sources.runs import RunStore, backfill_runs, run_id
+from barloom.sources.scratch import folder, written
 from barloom.sources.tables import write_ticks
 
 from .base import TICKS, query, r6, ticks
+from .study_queries import _SIGNALS, _trades, _trades_sql
 from .tape_queries import archive_line
 
 HEADER = "agg_id,price,qty,first_id,last_id,epoch,is_buyer_maker,best_match"
@@ -75,6 +77,26 @@ def a15_catch_up(spark: SparkSession, d: str) -> DataFrame:
     return made.select("agg_id", "ts", *r6("price"), "qty", "is_buyer_maker", (F.to_date("ts") > F.lit(LAST)).alias("added"))
 
 
+@query(f"""
+WITH {_SIGNALS}, {_trades_sql()}
+SELECT 'l0_' || symbol || '_0.55' AS run_id, symbol, count(DISTINCT bar_id % 3) AS n_folds_evaluated, count(*) AS n_trades_total,
+       round(avg(CASE WHEN pnl_bps_net > 0 THEN 100.0 ELSE 0 END), 6) AS win_pct, round(sum(pnl_bps_net), 6) AS total_pnl_bps, min(entry_ts) AS first_entry, 2 AS manifest
+FROM trades GROUP BY symbol
+""")
+def m22_run_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the backtest, one for each symbol, published twice with their trades and read back."""
+    name = run_id("l0", F.col("symbol"), F.lit("0.55"))
+    trades = written(_trades(spark, d).withColumns({"run_id": name, "fold_id": (F.col("bar_id") % 3).cast("int")}), "backfill")
+    about = trades.select("run_id", "symbol", F.lit(0.55).alias("threshold")).distinct()
+    store = RunStore(spark, folder(spark, "runs"))
+    for _ in range(2):
+        number = backfill_runs(store, trades, about, ["symbol", "threshold"], 18)
+    first = store.read("trades").groupBy("run_id").agg(F.min("entry_ts").alias("first_entry"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_folds_evaluated", "n_trades_total")]
+    made = store.read("runs").join(first, "run_id")
+    return made.select("run_id", "symbol", *counts, *r6("win_pct", "total_pnl_bps"), "first_entry", F.lit(number).alias("manifest"))
+
+
 def fetch_page(first: int, limit: int, path: str) -> list[dict]:
     """Of records written below path in ranges of their ids, those from `first` on."""
     table, width, ids = ds.dataset(path.removeprefix("file://"), format="parquet"), limit, ds.field("agg_id")
