@@ -83,25 +83,42 @@ def day_return(bars: DataFrame) -> DataFrame:
     return bars.withColumn("daily_ret_pct", F.col("close") / last - 1)
 
 
-def week_position(bars: DataFrame) -> DataFrame:
+def week_position(bars: DataFrame, peers: bool = False) -> DataFrame:
     """bars with the close's place within the low and high of the last seven days; 0.5 in a flat week.
 
-    Rows of the same time count up to this one only: a range of time before this one, and the rows of this time up to here.
+    Of rows of the same time, those up to this one count, in order of bar_id; with peers all of them, as in SQL's range frame.
+
+    A frame of time that moves with the row would be read anew for every row. Time is cut into hours instead: a row's week is the end of the
+    hour seven days back, the hours between, whose highest and lowest are few, and its own hour up to it. Each symbol's hour is a group of its
+    own, with the rows of the hour seven days back; one task sees only a symbol's hours.
     """
-    micros = F.unix_micros(F.col("bar_close_ts").cast("timestamp"))
-    before = Window.partitionBy("symbol").orderBy(micros).rangeBetween(-7 * 86_400_000_000, -1)
-    same = Window.partitionBy("symbol", "bar_close_ts").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0)
-    made = bars.withColumns(
+    hour, week = 3_600_000_000, 7 * 86_400_000_000
+    at = F.unix_micros(F.col("bar_close_ts").cast("timestamp"))
+    rows = bars.withColumn("_at", at).withColumn("_hour", F.col("_at") - F.pmod("_at", F.lit(hour)))
+    # null symbols and times are keys: structs are equal where their nulls are
+    slot = F.struct("symbol", "_hour").alias("_slot")
+    back = rows.select((F.col("_at") + week).alias("_at"), F.struct("symbol", (F.col("_hour") + week).alias("_hour")).alias("_slot"), F.col("high").alias("_old_high"), F.col("low").alias("_old_low"))
+    both = rows.select(*bars.columns, "_at", slot).withColumn("_own", F.lit(True)).unionByName(back, allowMissingColumns=True)
+    # the hour's rows up to this one; those of the hour a week before from a week before this one on
+    group = Window.partitionBy("_slot")
+    early = group.orderBy("_at") if peers else group.orderBy("_at", "bar_id").rowsBetween(Window.unboundedPreceding, 0)
+    late = group.orderBy(F.desc("_at"))
+    parts = both.withColumns(
         {
-            "week_high": F.greatest(F.max("high").over(before), F.max("high").over(same)),
-            "week_low": F.least(F.min("low").over(before), F.min("low").over(same)),
+            "_high": F.max("high").over(early),
+            "_low": F.min("low").over(early),
+            "_old_high": F.max("_old_high").over(late),
+            "_old_low": F.min("_old_low").over(late),
         }
-    )
-    spot = (F.col("close") - F.col("week_low")) / (F.col("week_high") - F.col("week_low"))
-    flat = F.col("week_high") == F.col("week_low")
-    return made.withColumn(
-        "weekly_range_pos", F.when(flat, 0.5).otherwise(F.least(F.greatest(spot, F.lit(0.0)), F.lit(1.0)))
-    ).drop("week_high", "week_low")
+    ).where("_own")
+    between = Window.partitionBy("symbol").orderBy("_hour").rangeBetween(hour - week, -hour)
+    hours = rows.groupBy("symbol", "_hour").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    hours = hours.select(slot, F.max("high").over(between).alias("_hours_high"), F.min("low").over(between).alias("_hours_low"))
+    made = parts.join(hours, "_slot", "left")
+    top, bottom = F.greatest("_old_high", "_hours_high", "_high"), F.least("_old_low", "_hours_low", "_low")
+    spot = (F.col("close") - bottom) / (top - bottom)
+    place = F.when(top == bottom, 0.5).otherwise(F.least(F.greatest(spot, F.lit(0.0)), F.lit(1.0)))
+    return made.select(*bars.columns, place.alias("weekly_range_pos"))
 
 
 def regime_ratio(bars: DataFrame, short: int = 50, long: int = 200) -> DataFrame:

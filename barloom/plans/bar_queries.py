@@ -182,7 +182,7 @@ WITH {BARS}, e AS (SELECT *, max(high) OVER w AS h, min(low) OVER w AS l FROM ba
 SELECT symbol, bar_id, round(CASE WHEN h = l THEN 0.5 ELSE least(greatest((close - l) / (h - l), 0), 1) END, 9) AS weekly_range_pos FROM e
 """)
 def w23_week_position(spark: SparkSession, d: str) -> DataFrame:
-    return tier1.week_position(bars(spark, d)).select("symbol", "bar_id", F.round("weekly_range_pos", 9).alias("weekly_range_pos"))
+    return tier1.week_position(bars(spark, d), peers=True).select("symbol", "bar_id", F.round("weekly_range_pos", 9).alias("weekly_range_pos"))
 
 
 @query(f"""
