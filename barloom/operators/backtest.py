@@ -88,10 +88,25 @@ def with_pnl(trades: DataFrame, cost_bps: Column) -> DataFrame:
     return trades.withColumn("pnl_bps_gross", gross).withColumn("pnl_bps_net", gross - cost_bps)
 
 
+def _ln(x: Column) -> Column:
+    """The logarithm, of zero minus infinity and of less nan, where Spark has null: a loss of all or more must not drop out of a sum."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan))
+
+
+def _over(a: Column, b: Column) -> Column:
+    """a over b, where b may be 0: infinite, or nan for nothing over nothing."""
+    rest = F.when(F.isnan(a) | (a == 0), math.nan).when(a > 0, math.inf).when(a < 0, -math.inf)
+    return F.when(b != 0, a / b).when(b == 0, rest)
+
+
 def equity_curve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0) -> DataFrame:
-    """keys, ts, n, equity: the start at the entry of the trade that exits first, then compounded after each exit."""
+    """keys, ts, n, equity: the start at the entry of the trade that exits first, then compounded after each exit.
+
+    A trade that loses all that there is makes the equity 0 from there on; one that loses more (a short whose price has more than doubled)
+    makes it nan, and with it what is reckoned from it.
+    """
     order = [F.col("exit_ts"), F.col("bar_id")]
-    sums = {"n": ("sum", F.lit(1)), "growth": ("sum", F.log1p(F.col("pnl_bps_net") / 10_000.0))}
+    sums = {"n": ("sum", F.lit(1)), "growth": ("sum", _ln(1 + F.col("pnl_bps_net") / 10_000.0))}
     grown = running(trades.select(*keys, "exit_ts", "bar_id", "pnl_bps_net"), list(keys), order, sums, bucket=F.to_date("exit_ts"))
     grown = grown.select(*keys, F.col("exit_ts").alias("ts"), F.col("n").cast("int").alias("n"), (start * F.exp("growth")).alias("equity"))
     first = trades.groupBy(*keys).agg(F.min_by("entry_ts", F.struct("exit_ts", "bar_id")).alias("ts"))
@@ -101,7 +116,7 @@ def equity_curve(trades: DataFrame, keys: Sequence[str], start: float = 10_000.0
 def drawdown(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """curve with `drawdown`: how far the equity is below its highest value so far."""
     made = running(curve, list(keys), [F.col("n")], {"drawdown": ("max", F.col("equity"))}, bucket=F.floor(F.col("n") / _CURVE_ROWS))
-    return made.withColumn("drawdown", (F.col("equity") - F.col("drawdown")) / F.col("drawdown"))
+    return made.withColumn("drawdown", F.col("equity") / F.col("drawdown") - 1)
 
 
 def daily_returns(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,7 +128,7 @@ def daily_returns(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     filled = days.join(last, [*keys, "day"], "left").withColumn(
         "equity", F.last("equity", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    return filled.withColumn("ret", F.ln(F.col("equity") / F.lag("equity").over(w))).where("ret IS NOT NULL").select(*keys, "day", "ret")
+    return filled.withColumn("ret", _ln(_over(F.col("equity"), F.lag("equity").over(w)))).where("ret IS NOT NULL").select(*keys, "day", "ret")
 
 
 def metrics(trades: DataFrame, keys: Sequence[str], n_bars: DataFrame | None = None, start: float = 10_000.0) -> DataFrame:
@@ -121,7 +136,7 @@ def metrics(trades: DataFrame, keys: Sequence[str], n_bars: DataFrame | None = N
 
     n_bars: (keys.., n_bars) of the period; without it the time in market is null.
     Ratios over fewer than two days, or without variation, are 0. Log returns
-    are compounded as they are, and a year has 252 days, as published figures have it.
+    are compounded as they are, and a year has 252 days, as published figures have it; a day with one below -1 makes the annual return nan.
     """
     keys = list(keys)
     # read three times below: trades are few, what they are made of is not
@@ -133,7 +148,7 @@ def metrics(trades: DataFrame, keys: Sequence[str], n_bars: DataFrame | None = N
     per_day = daily_returns(curve, keys).groupBy(*keys).agg(
         F.coalesce(F.when(F.stddev_samp(r) > 0, F.avg(r) / F.stddev_samp(r) * year), F.lit(0.0)).alias("sharpe"),
         F.coalesce(F.when(F.stddev_samp(neg) > 0, F.avg(r) / F.stddev_samp(neg) * year), F.lit(0.0)).alias("sortino"),
-        (F.pow(F.exp(F.sum(F.log1p(r))), 252.0 / F.count(r)) - 1).alias("annual_return"),
+        (F.pow(F.exp(F.sum(_ln(1 + r))), 252.0 / F.count(r)) - 1).alias("annual_return"),
     )
     counts = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"),
