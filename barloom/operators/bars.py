@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -318,16 +320,19 @@ def index_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
     return sized.groupBy(*keys).agg(*[F.max(F.when(at, F.col(value))).alias(n) for n, at in wanted.items()])
 
 
-def ordered_digest(rows: DataFrame, keys: list[str], text: Column, order: list[Column], out: str = "print", chunk: int = 256) -> DataFrame:
+def ordered_digest(
+    rows: DataFrame, keys: list[str], text: Column, order: list[Column], out: str = "print", chunk: int = 256, levels: int | None = None
+) -> DataFrame:
     """Per key an md5 of its rows' texts in order: of chunks of so many rows (joined by |), then of as many of these, until one is left.
 
     So it is the md5 of the joined texts of a key of at most `chunk` rows, and no task holds more than a chunk of a group. Null
     texts are left out of what is joined. Rows that are equal in the order make the digest undefined: give an order that is total.
+    With `levels` it ends after so many: a key of more than chunk ** levels rows has a digest, and a row, for each such stretch of them.
     """
     names = [f"_o{i}" for i in range(len(order))]
     rows = rows.select(*keys, text.alias("_text"), *[c.alias(n) for c, n in zip(order, names, strict=True)])
     level, first = positions(rows, keys, [F.col(n) for n in names], "_n").select(*keys, "_text", "_n"), True
-    while True:
+    for made in itertools.count(1):
         part = F.sort_array(F.collect_list(F.struct("_n", "_text")))
         digest = F.md5(F.array_join(F.transform(part, lambda r: r["_text"]), "|"))
         if not first:
@@ -335,5 +340,5 @@ def ordered_digest(rows: DataFrame, keys: list[str], text: Column, order: list[C
             digest = F.when((F.count(F.lit(1)) == 1) & (F.max("_n") == 1), F.max("_text")).otherwise(digest)
         level = level.groupBy(*keys, F.floor((F.col("_n") - 1) / chunk).alias("_chunk")).agg(digest.alias("_text"))
         level, first = written(level.select(*keys, "_text", (F.col("_chunk") + 1).alias("_n")), "digests"), False
-        if level.where("_n > 1").isEmpty():
+        if made == levels or level.where("_n > 1").isEmpty():
             return level.select(*keys, F.col("_text").alias(out))
