@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.scratch import folder
+from barloom.sources.scratch import folder, written
 from barloom.streaming import live
 from barloom.streaming.bars import stream_bars
 
@@ -25,7 +25,8 @@ def arrivals(spark: SparkSession, d: str) -> DataFrame:
     """The tape as a stream of PARTS triggers in order of arrival, in which ticks overtake each other. price is the log price."""
     utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("ts")))
     tape = ticks(spark, d).select("symbol", "agg_id", utc.alias("ts"), F.col("lp").cast("double").alias("price"), "qty")
-    tape = tape.withColumn("arrival", F.unix_micros("ts") + F.pmod(F.xxhash64("agg_id"), F.lit(OVERTAKEN * 60_000_000)))
+    # read once for the cuts and once for each part
+    tape = written(tape.withColumn("arrival", F.unix_micros("ts") + F.pmod(F.xxhash64("agg_id"), F.lit(OVERTAKEN * 60_000_000))), "overtaken")
     cuts = tape.agg(F.percentile_approx("arrival", [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0]
     path, rest = folder(spark, "arrivals"), tape
     for i in range(PARTS):
