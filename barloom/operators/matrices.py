@@ -36,12 +36,13 @@ def tier1_matrix(bars: DataFrame) -> DataFrame:
     return _joined(bars, made, TIER1)
 
 
-def v2_matrix(bars: DataFrame, ticks: DataFrame) -> DataFrame:
+def v2_matrix(bars: DataFrame, ticks: DataFrame, peers: bool = False) -> DataFrame:
     """symbol, bar_id, bar_close_ts, the base features and the 8 of V2, all double. A row for each bar.
 
     Bars without ticks have null ratios, through which the exponential means decay; these need 5 and 20 ratios.
+    peers: whether a bar's week has all bars that close with it; see tier1.week_position.
     """
-    made = tier1.regime_ratio(tier1.week_position(tier1.day_return(bars))).withColumn("_sec", seconds())
+    made = tier1.regime_ratio(tier1.week_position(tier1.day_return(bars), peers)).withColumn("_sec", seconds())
     made = made.withColumn("trade_intensity", trade_intensity(F.col("n_trades"), F.col("_sec"), bar_order()))
     flow = order_flow(ticks, bars).select(*_KEY, taker_ratio().alias("taker_buy_ratio"), max_trade_share().alias("max_trade_share"))
     made = made.join(flow, _KEY, "left")

@@ -90,4 +90,4 @@ LEFT JOIN {_sql("w21_trade_intensity")} USING (symbol, bar_id) LEFT JOIN v USING
 def c03_v2_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The base features of every bar with those of days, regimes and order flow."""
     made = bars(spark, d).withColumns({"cusum_pos": F.lit(0.02), "cusum_neg": F.lit(0.0)})
-    return M.v2_matrix(made, ticks(spark, d)).select("symbol", "bar_id", "bar_close_ts", *map(_rounded, [*I.FEATURES, *M.V2]))
+    return M.v2_matrix(made, ticks(spark, d), peers=True).select("symbol", "bar_id", "bar_close_ts", *map(_rounded, [*I.FEATURES, *M.V2]))
